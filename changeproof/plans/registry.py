@@ -1,27 +1,19 @@
-"""Named queries over the given tables, each with the SQL that must give the same rows."""
+"""The registered queries of the library, by module."""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
+def modules() -> list:
+    return []
 
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
 
-    return register
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for m in modules() for name, query in m.QUERIES.items()}
 
 
-def load_all() -> None:
-    from changeproof.plans import (  # noqa: F401
-        coverage_queries, delta_queries, log_queries, privacy_queries, suite_queries, ui_queries,
-        web_queries,
-    )
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in modules() for name, sql in m.ORACLE.items()}
