@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from changeproof.llm.common import written
+
 RANGES = 4096
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -62,7 +64,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 
 
 def _taken(rows: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
-    ranges = rows.groupBy("source", "mix_range").agg(F.sum("size").alias("range_size"))
+    # At most RANGES rows a source; written, as it is read three times.
+    ranges = written(rows.groupBy("source", "mix_range").agg(F.sum("size").alias("range_size")))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, most)
     before = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each source and range.

@@ -93,7 +93,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("range", ranges)
     order = [F.col("doc_id").desc_nulls_last(), "text"]
     # The head of each range, for the last row of the range before it: one row a range.
-    heads = written(rows.groupBy("range").agg(F.min(F.struct((-F.col("doc_id")).alias("minus"), "text")).alias("head")).select("range", "head.text"))
+    tops = rows.groupBy("range").agg(F.max("doc_id").alias("top"))
+    heads = written(rows.join(F.broadcast(tops), "range").where("doc_id <=> top").groupBy("range").agg(F.min("text").alias("text")))
     follow = Window.partitionBy(F.lit(0)).orderBy("range")
     chain = heads.select("range", F.coalesce(F.lead("text").over(follow), F.first("text").over(follow.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("following"))
     within = Window.partitionBy("range").orderBy(*order)
