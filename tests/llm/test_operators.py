@@ -324,10 +324,16 @@ def test_classifiers_take_any_rows(docs, labels, rows):
 
 
 def test_gapped_insults_score_like_plain_ones():
-    clean = [f"{a} {b} other words stand here." for a in ("onre", "thing", "erst") for b in ("shan", "tion", "reon") for _ in range(12)]
-    machine = toxicity.train([c.replace("other", x) for c, x in zip(clean, ["zumpfel", "krabost"] * 54, strict=True)], clean)
-    plain, gapped, none = machine.scores(["you zumpfel there.", "you z.u.m.p.f.e.l there.", "you others there."])
-    assert plain > 0.9 and gapped > none and none < 0.3
+    r = random.Random(2)
+    syllables = ("on", "er", "ing", "the", "tion", "sh", "re", "an")
+    line = lambda *x: " ".join([*("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(8)), *x]) + "."
+    clean = [line() for _ in range(300)]
+    machine = toxicity.train([line(r.choice(("zumpfel", "krabost"))) for _ in range(100)], clean)
+    value = lambda x: machine.decisions([line(x) for _ in range(50)]).mean()
+    plain, other = value("zumpfel"), value("oning")
+    assert machine.scores([line("zumpfel") for _ in range(50)]).min() > 0.9 and machine.scores([line("oning") for _ in range(50)]).mean() < 0.1
+    # One inserted character keeps about half of the distance, one after every letter some of it.
+    assert value("zum-pfel") > other + 0.4 * (plain - other) and value("z.u.m.p.f.e.l") > other + 0.05 * (plain - other)
 
 
 def test_marginals_agree_with_enumeration():
