@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Send at most ``rows`` texts at once to Python: a batch of long texts must fit a worker's memory.
+
+    The setting is the session's and stays, since plans read it when they run.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, keeps columns prunable."""
     spark = df.sparkSession
@@ -35,7 +45,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: Sequence[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(texts: Sequence[str | None], limit: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (index of the first text, code points of some texts joined by newlines, start of each text and one end more).
 
     Each text is followed by one newline, so text i is codes[starts[i] : starts[i + 1] - 1]. A chunk holds about
