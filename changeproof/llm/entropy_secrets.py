@@ -16,6 +16,8 @@ from math import log2
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from changeproof.llm.common import small_batches
+
 #: Base forms: kind, pattern, group whose length counts, least length. ASCII rules for case.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
@@ -119,6 +121,8 @@ def secret_spans(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, fl
     overlap a base one; both stay. A null doc_id stays null. An empty table gives an empty one. Other columns are not read.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from _scan(texts, window, thresholds or THRESHOLDS, allow)

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changeproof.llm.common import chunks, mixed
+from changeproof.llm.common import chunks, mixed, small_batches
 from changeproof.llm.toxicity import learn, logistic_line
 
 #: Labelled documents of each class that the field is fitted on (smallest hashes), and the longest one taken.
@@ -135,7 +135,7 @@ class Field:
     def logits(self, texts) -> np.ndarray:
         """Logit of the length-weighted mean marginal of each text; 0 for a text of blanks."""
         out = []
-        for _, codes, starts in chunks(texts, 1_000_000):
+        for _, codes, starts in chunks(texts):
             x, dense, first = line_features(codes, starts)
             out.append(_logit(self.marginals(x, first), dense, first))
         return np.concatenate(out) if out else np.empty(0)
@@ -179,7 +179,7 @@ def train(good: list[str], bad: list[str], rounds: int = 2) -> Field:
         width = 3 * FEATURES + 3
         return Field(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(width), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
     texts = good + bad
-    parts = [line_features(codes, starts) for _, codes, starts in chunks(texts, 1_000_000)]
+    parts = [line_features(codes, starts) for _, codes, starts in chunks(texts)]
     x = np.concatenate([p[0] for p in parts])
     dense = np.concatenate([p[1] for p in parts])
     before = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
@@ -207,6 +207,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample:
     quality 1 is likelier; predicted is 1 from ``threshold`` on. Null, empty and blank texts score as a mean marginal of one half
     does. Null labels and null ids are not learned from. An empty table gives an empty one. Other columns are kept.
     """
+    small_batches(docs.sparkSession)
     field = train(*learn(docs, labels.where(~held_out), "quality", sample, SAMPLE_CHARS))
 
     @F.pandas_udf("double")

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changeproof.llm.common import chunks
+from changeproof.llm.common import chunks, small_batches
 
 N, DECAY = 4, 0.5
 #: Labelled documents of each class that the machine is fitted on (smallest hashes), and the longest one taken.
@@ -233,7 +233,7 @@ def logistic_line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[fl
     return float(w[0] / scale), float(w[1])
 
 
-def train(toxic: list[str], clean: list[str], rounds: int = 4, keep: int = 60_000) -> Machine:
+def train(toxic: list[str], clean: list[str], rounds: int = 4, keep: int = 25_000) -> Machine:
     """Fit on labelled texts. Without texts of both classes every score is the share of toxic ones (or one half)."""
     if not (toxic and clean):
         share = 0.5 if not (toxic or clean) else 0.98 if toxic else 0.02
@@ -301,6 +301,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample
     toxic is likelier; predicted is 1 from ``threshold`` on. Null and empty texts score as texts without any letter. Null
     labels and null ids are not learned from. An empty table gives an empty one. Other columns are kept.
     """
+    small_batches(docs.sparkSession)
     machine = train(*learn(docs, labels.where(~held_out), "toxic", sample, SAMPLE_CHARS))
 
     @F.pandas_udf("double")

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from changeproof.llm.common import written
+from changeproof.llm.common import small_batches, written
 
 GROUP = 20_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -104,6 +104,7 @@ def best_fit(
     squares of lengths. Only documents longer than a sequence are cut. A null or empty text is the one token end_id. Repeated
     rows are placed each; a null doc_id stays null. An empty table gives an empty one. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     attention = tokens * tokens if attention is None else attention
     pieces = written(token_pieces(docs, tokenizer_path, end_id, tokens))
     rows = pieces.count()
