@@ -7,13 +7,18 @@ SEP = "\u0001"
 
 def canonical_json(text: Column) -> Column:
     """Sorted keys, normalised numbers; null when the text is not JSON."""
-    return F.to_json(F.try_parse_json(text))
+    return whole_number(F.to_json(F.try_parse_json(text)))
+
+
+def whole_number(text: Column) -> Column:
+    """A number that is whole in its integer form, so that 1e2, 100.0 and 100 are the same text."""
+    return F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1")
 
 
 def image_map(image: Column) -> Column:
     """A row image as column -> canonical JSON text of its value."""
     parsed = F.from_json(image, "map<string,variant>")
-    return F.transform_values(parsed, lambda _, v: F.to_json(v))
+    return F.transform_values(parsed, lambda _, v: whole_number(F.to_json(v)))
 
 
 def json_value(image: Column, name: str) -> Column:
@@ -66,8 +71,8 @@ def path_key(path: Column) -> Column:
 
 def glob_regex(segment: Column) -> Column:
     """`*` stays inside its segment; every other character is literal."""
-    quoted = F.regexp_replace(segment, r"([\\^$+?.()|\[\]{}])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("$"))
+    literal = F.replace(segment, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("^\\Q"), F.replace(literal, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
 
 
 def path_matches(path: Column, pattern: Column) -> Column:

@@ -6,7 +6,7 @@ from changeproof.functions.canonical import (
     canonical_json, compared_image, first_segments, image_map, table_name,
 )
 from changeproof.operators.scale import (
-    SLICE_WIDTH, Running, cut_lineage, event_order, event_slice, running_totals, small,
+    SLICE_WIDTH, Running, cut_lineage, event_order, event_slice, running_totals,
 )
 from changeproof.schema import WINDOW
 
@@ -59,7 +59,7 @@ def _declaration_matches(e: Column, row: Column, changed: Column) -> Column:
 
 def match_expectations(events: DataFrame, expectations: DataFrame) -> DataFrame:
     """Events that match at least one declaration, with `candidates` in declared order."""
-    groups = small(expectation_groups(expectations))
+    groups = expectation_groups(expectations)
     joined = events.withColumn("table_name", table_name(F.col("entity"))).join(
         groups, [*WINDOW, "table_name", "op"]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changeproof.functions.canonical import canonical_json, table_name
 from changeproof.operators import allocate, rules as rule_ops
-from changeproof.operators.scale import SLICE_WIDTH, first_n, small
+from changeproof.operators.scale import SLICE_WIDTH, bounded, first_n
 from changeproof.schema import BUCKETS, DELTA_CODES, WINDOW
 
 
@@ -20,6 +20,7 @@ class Delta:
     shortfalls: DataFrame
     rule_stats: DataFrame
     cap_violations: DataFrame
+    windows: DataFrame
 
 
 def classify(
@@ -29,11 +30,13 @@ def classify(
     as_of: datetime.date,
     ruleset_id: str | None = None,
     width: int = SLICE_WIDTH,
+    windows: DataFrame | None = None,
 ) -> Delta:
     """Put every event in exactly one bucket.
 
     `events` carry `ruleset_id`, or all use the one given. Images are read only where events
-    meet declarations; what is shuffled afterwards is the narrow row.
+    meet declarations; what is shuffled afterwards is the narrow row. `windows` (and ruleset_id, if
+    events carry it) adds windows that may have no event: declared windows always count.
     """
     rule_ops.refuse_expired(rules, as_of)
     if ruleset_id is not None:
@@ -81,7 +84,14 @@ def classify(
     stripped = None
     if any(kind == "volatile_columns" for kind, _ in kinds):
         stripped = rule_ops.strip_volatile(events, rules)
-    windows = events.select(*WINDOW, "ruleset_id").distinct()
+    known = events.select(*WINDOW, "ruleset_id")
+    if ruleset_id is not None:
+        declared = expectations.select(*WINDOW)
+        declared = declared if windows is None else declared.unionByName(windows.select(*WINDOW))
+        known = known.unionByName(declared.withColumn("ruleset_id", F.lit(ruleset_id)))
+    elif windows is not None:
+        known = known.unionByName(windows.select(*WINDOW, "ruleset_id"))
+    windows = known.distinct()
     stats = rule_ops.rule_stats(classified, stripped, rules, windows)
     return Delta(
         classified.select(
@@ -91,6 +101,7 @@ def classify(
         allocate.shortfalls(expectations, allocation),
         stats,
         rule_ops.enforce_caps(stats),
+        windows,
     )
 
 
@@ -126,8 +137,9 @@ def window_verdicts(delta: Delta) -> DataFrame:
     """Counts and failure reasons per window. The captured count is always shown."""
     broken = delta.cap_violations.groupBy(*WINDOW).agg(F.count("*").alias("broken"))
     reasons = failure_reasons(F.col("unexplained"), F.coalesce("broken", F.lit(0)), F.lit(0))
+    counts = delta.windows.select(*WINDOW).distinct().join(bucket_counts(delta.classified), WINDOW, "left")
     return (
-        bucket_counts(delta.classified)
+        counts.fillna(0, ["total", *BUCKETS])
         .join(broken, WINDOW, "left")
         .withColumn("failure_reasons", reasons)
         .withColumn("failed", F.size("failure_reasons") > 0)
@@ -148,7 +160,7 @@ def group_unexplained(classified: DataFrame, events: DataFrame, per_group: int =
     )
     samples = first_n(bad.select(*WINDOW, "entity", "op", "idx"), [*WINDOW, "entity", "op"], ["idx"], per_group)
     detail = events.select(*WINDOW, "idx", "key", "before", "after", "paths")
-    rows = detail.join(small(samples), [*WINDOW, "idx"])
+    rows = detail.join(samples, [*WINDOW, "idx"])
     unavailable = F.col("key").isNull() | (F.col("key") == "{}")
     declared = F.array_sort(F.array_distinct(F.transform("paths", lambda p: F.array_join(p, "."))))
     own = F.json_object_keys(F.coalesce("after", "before"))
@@ -232,7 +244,7 @@ def assert_delta(
         counts = bucket_counts(delta.classified).filter(c("unexplained") > 0)
         parts.append(shape(counts, DELTA_CODES[1], observed=c("unexplained")))
     expired = rule_ops.expiry(rules, as_of).filter(c("state") == "expired")
-    used = delta.rule_stats.select(*WINDOW, "ruleset_id").distinct().join(small(expired), "ruleset_id")
+    used = delta.rule_stats.select(*WINDOW, "ruleset_id").distinct().join(bounded(expired, "rules"), "ruleset_id")
     parts.append(shape(used, DELTA_CODES[3], c("id"), detail=c("expires").cast("string")))
 
     found = parts[0]

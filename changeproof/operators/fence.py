@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changeproof.functions.canonical import json_value
-from changeproof.operators.scale import small
 from changeproof.schema import MARKER_ENTITY
 
 FENCE = ["run_id", "scenario_id", "nonce"]
@@ -98,7 +97,7 @@ def fence_slice(
     rows = rows.withColumn("__bucket", F.floor(F.col("idx") / F.greatest("__width", F.lit(1))))
     inside = (F.col("idx") > F.col("open_idx")) & (F.col("idx") < F.col("close_idx"))
     return (
-        rows.join(small(spans), [*source, "__width", "__bucket"])
+        rows.join(spans, [*source, "__width", "__bucket"])
         .filter(inside)
         .drop("__width", "__bucket", "open_idx", "close_idx")
     )

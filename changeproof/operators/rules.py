@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changeproof.errors import Refused
 from changeproof.functions.canonical import path_key, path_matches, table_name
 from changeproof.operators.scale import (
-    SLICE_WIDTH, Running, event_order, event_slice, running_totals, salted_flag, small,
+    SLICE_WIDTH, Running, event_order, event_slice, bounded, running_totals, salted_flag,
 )
 from changeproof.schema import (
     DEAD_RULE_RUNS, DEFAULT_RULE_CAP, EXPIRING_SOON_DAYS, RULE_KINDS, WINDOW,
@@ -28,7 +28,7 @@ def refuse_expired(rules: DataFrame, as_of: datetime.date) -> None:
     """An expired ignore rule stops the run before any bucket is computed."""
     gone = rules.filter((F.col("kind") == "ignore") & (F.col("expires") < F.lit(as_of))).limit(1).collect()
     if gone:
-        raise Refused("E_RULE_EXPIRED", f"Rule {gone[0]['id']} expired on {gone[0]['expires']}")
+        raise Refused("E_RULE_EXPIRED", f"{gone[0]['id']} was valid until {gone[0]['expires']}")
 
 
 def rules_by_table(rules: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def derived_budgets(events: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("caused_op").alias("op"),
         "per_source",
     )
-    hits = sources.join(small(derived), ["ruleset_id", "source_table", "op"]).filter(
+    hits = sources.join(bounded(derived, "rules"), ["ruleset_id", "source_table", "op"]).filter(
         (F.col("caused_entity") == F.col("source")) | (F.col("caused_entity") == F.col("source_table"))
     )
     return hits.groupBy(*WINDOW, "table_name", "rule_pos").agg(
@@ -104,7 +104,7 @@ def apply_rules(events: DataFrame, rules: DataFrame, as_of: datetime.date) -> Da
     Needs own_tx, rank_table, rank_entity and budgets. Rules ride along as one array per
     table, so no event is multiplied and no shuffle by event is needed.
     """
-    rows = events.join(small(rules_by_table(rules)), ["ruleset_id", "table_name"], "left")
+    rows = events.join(bounded(rules_by_table(rules), "rules"), ["ruleset_id", "table_name"], "left")
 
     def targets(r: Column) -> Column:
         return (r["entity"] == F.col("entity")) | (r["entity"] == F.col("table_name"))
@@ -143,7 +143,7 @@ def apply_rules(events: DataFrame, rules: DataFrame, as_of: datetime.date) -> Da
 
 
 def strip_volatile(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drop volatile paths of updates. The row stays and still has to be explained.
+    """Take volatile paths out of updates; the events themselves are classified like any other.
 
     `stripped` says which rule took which path: the first matching rule in ruleset order.
     """
@@ -153,7 +153,7 @@ def strip_volatile(events: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rule_pos", "entity", "paths"))).alias("volatile"))
     )
     rows = events.withColumn("table_name", table_name(F.col("entity"))).join(
-        small(volatile), ["ruleset_id", "table_name"], "left"
+        bounded(volatile, "rules"), ["ruleset_id", "table_name"], "left"
     )
     none = F.array().cast("array<struct<rule_pos:int,entity:string,paths:array<string>>>")
     applies = F.filter(
@@ -194,7 +194,7 @@ def rule_stats(ruled: DataFrame, stripped: DataFrame | None, rules: DataFrame, w
         fired = fired.unionByName(paths)
     counts = fired.groupBy(*key).agg(F.sum("s").alias("suppressed"), F.sum("o").alias("over_budget"))
     every = windows.select(*WINDOW, "ruleset_id").join(
-        small(rules.select("ruleset_id", "rule_pos", "id", "kind", "entity", "cap")), "ruleset_id"
+        bounded(rules.select("ruleset_id", "rule_pos", "id", "kind", "entity", "cap"), "rules"), "ruleset_id"
     )
     return every.join(counts, key, "left").select(
         *key,
@@ -258,13 +258,11 @@ def dead_rules(history: DataFrame, runs: int = DEAD_RULE_RUNS, width: int = SLIC
     at = F.floor(F.col("run_idx") / width)
     order = [F.col("run_idx")]
     rows = history.withColumn("fired", fired)
-    rows = running_totals(
-        rows, key, order, at, {"nth": Running(F.lit(1)), "island": Running(F.col("fired"))}
-    )
-    # The run in which the island began: rows of an island are consecutive.
-    begun = rows.groupBy(*key, "island").agg(F.min("nth").alias("first_nth"))
-    rows = rows.join(begun, [*key, "island"])
-    zero = F.col("nth") - F.col("first_nth") + F.when(F.col("island") > 0, 0).otherwise(1)
+    rows = running_totals(rows, key, order, at, {"nth": Running(F.lit(1))})
+    # The place of the last run that fired; the runs since then did not.
+    fire = F.when(F.col("fired"), F.col("nth"))
+    rows = running_totals(rows, key, order, at, {"last_fire": Running(fire, fn="max")})
+    zero = F.col("nth") - F.coalesce("last_fire", F.lit(0))
     return rows.withColumn("zero_runs", zero.cast("long")).select(
         *key,
         "run_idx",
@@ -290,10 +288,10 @@ def ruleset_problems(rules: DataFrame, as_of: datetime.date) -> DataFrame:
     twice = ids.select("ruleset_id", "id", F.lit("duplicate_id").alias("problem"))
     kind = F.col("kind")
     checks = {
-        "invalid_id": ~F.coalesce(F.rlike("id", F.lit(r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)*$")), F.lit(False)),
+        "invalid_id": ~F.coalesce(F.rlike("id", F.lit(r"^[a-z][a-z0-9_]*$")), F.lit(False)),
         "unknown_kind": ~F.coalesce(kind.isin(RULE_KINDS), F.lit(False)),
         "entity_missing": F.coalesce(F.col("entity") == "", F.lit(True)),
-        "ignore_wildcard": (kind == "ignore") & F.contains("entity", F.lit("*")),
+        "ignore_wildcard": (kind == "ignore") & F.coalesce(F.rlike("entity", F.lit(r"[*%]|_$")), F.lit(False)),
         "ignore_expired": (kind == "ignore") & F.coalesce(F.col("expires") < F.lit(as_of), F.lit(True)),
         "invalid_cap": F.coalesce(F.col("cap") <= 0, F.lit(False)),
         "paths_missing": (kind == "volatile_columns") & F.coalesce(F.size("paths") == 0, F.lit(True)),
@@ -322,6 +320,6 @@ def unsupported_identity(rules: DataFrame, sources: DataFrame) -> DataFrame:
             )
         ).alias("o"),
     ).select("driver", "o.identity_by", "o.offered")
-    return external.join(small(offered.filter(~F.col("offered"))), "identity_by").select(
+    return external.join(bounded(offered.filter(~F.col("offered")), "sources"), "identity_by").select(
         "ruleset_id", "id", "driver", "identity_by"
     )

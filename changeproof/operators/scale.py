@@ -6,10 +6,13 @@ computed from a small per-slice summary.
 """
 
 import tempfile
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from changeproof.errors import Refused
+
 SLICE_WIDTH = 1_000_000
 BROADCAST_ROWS = 100_000
 SALTS = 16
@@ -34,9 +37,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only after counting at most limit + 1 rows; beyond it, a plain join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bounded(df: DataFrame, what: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A side that people write by hand (rules, sources): at most `limit` rows by contract, else refused."""
+    if df.limit(limit + 1).count() > limit:
+        raise Refused("E_TOO_MANY_ROWS", f"more than {limit} rows", what=what)
+    return F.broadcast(df)
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on keys in which null equals null; the keys of the left side stay."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def number_rows(df: DataFrame, order: list, into: str = "idx") -> DataFrame:
@@ -136,11 +148,11 @@ def running_totals(
             )
         else:
             per = per.select(*at, F.col("__start").alias(f"__o_{name}"))
-        summary = per if summary is None else summary.join(per, at)
+        summary = per if summary is None else null_safe(summary, per, at, "inner")
     if attach is not None:
-        summary = summary.join(attach, keys, "left")
+        summary = null_safe(summary, attach, keys)
 
-    joined = rows.join(summary, at, "left")
+    joined = null_safe(rows, summary, at)
     for name, total in totals.items():
         here = (
             Window.partitionBy(*at, *total.by)

@@ -126,7 +126,7 @@ SHOP_EXPECTATIONS = [
 # (rule_pos, id, kind, entity, cap, paths, caused_entity, caused_op, per_source, by, not_equals, rule_op, expires)
 SHOP_RULES = [
     (0, "volatile_order_status", "volatile_columns", "shop.orders", 50, ["o_order*"], None, None, None, None, None, None, None),
-    (1, "order_delete_audit", "derived", "order_audit", 50, None, "shop.orders", "delete", 1, None, None, None, None),
+    (1, "deletes_leave_audit", "derived", "order_audit", 50, None, "shop.orders", "delete", 1, None, None, None, None),
     (2, "order_create_audit", "derived", "shop.order_audit", 5, None, "orders", "insert", 1, None, None, None, None),
     (3, "reorder_backfill", "ignore", "orders", 5, None, None, None, None, None, None, "insert", "2099-12-31"),
 ]

@@ -2,11 +2,11 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from changeproof.functions.canonical import canonical_json, image_map, json_value
+from changeproof.functions.canonical import canonical_json, image_map
 from changeproof.operators.scale import SLICE_WIDTH, Running, running_totals
-from changeproof.schema import ACTOR_KINDS, FIDELITY_LEVELS, MAX_SAFE_INTEGER, OPS
+from changeproof.schema import ACTOR_KINDS, FIDELITY_LEVELS, MAX_SAFE_INTEGER, OPS, WINDOW
 
 
 @dataclass
@@ -23,12 +23,13 @@ def is_json_object(text: Column) -> Column:
     )
 
 
-def reject_reasons() -> Column:
-    """Fields of the event row that are not acceptable, in field order."""
+def reject_reasons(window: list[str] | tuple = ()) -> Column:
+    """Fields of the event row that are not acceptable, in field order; the window's columns must not be null."""
     paths_bad = F.col("paths").isNull() | F.exists(
         "paths", lambda p: p.isNull() | (F.size(p) == 0) | F.exists(p, lambda s: s.isNull())
     )
     checks = [
+        *[(name, F.col(name).isNull()) for name in window],
         ("entity", ~F.coalesce(F.contains(F.col("entity"), F.lit(".")), F.lit(False))),
         ("op", ~F.coalesce(F.col("op").isin(OPS), F.lit(False))),
         ("seq", F.coalesce(F.abs("seq") > MAX_SAFE_INTEGER, F.lit(False))),
@@ -44,7 +45,7 @@ def reject_reasons() -> Column:
 
 def read_change_events(df: DataFrame) -> Split:
     """Canonicalise the images of valid rows; set invalid rows aside, never drop them."""
-    checked = df.withColumn("reasons", reject_reasons())
+    checked = df.withColumn("reasons", reject_reasons([c for c in WINDOW if c in df.columns]))
     good = (
         checked.filter(F.size("reasons") == 0)
         .drop("reasons")
@@ -135,8 +136,3 @@ def actor_column(kind: Column | str = "unknown", lsn: Column | None = None, **fi
         (null if lsn is None else lsn).alias("lsn"),
     )
 
-
-__all__ = [
-    "Split", "Window", "actor_column", "json_value", "number_events", "read_change_events", "rebase_seq",
-    "recompute_changed_paths", "reject_reasons", "tx_groups", "tx_summary",
-]
