@@ -35,7 +35,7 @@ def texts():
             out.append(("\n" if edits else "  ").join(c))
     passage = " ".join(word() for _ in range(60))
     out += [passage + " " + " ".join(word() for _ in range(30)) for _ in range(10)]
-    out += [None, "", " \n\t", "A", "a", "Ab c", "aB  c", "x" * 30_000, "long word " * 6_000, "  no break", "\U0001f600 " * 9]
+    out += [None, "", " \n\t", "A", "a", "Ab c", "aB  c", "x" * 30_000, "long word " * 6_000, "  no break", "a <|endoftext|> b<|x|>c <|startoftext|> ~ a~b ~~ it's THEY'LL 'stop o'clock 12,5kg Ä\u00d7\u00aaÿ", "\u0130stanbul \u03a3\u03a3 e\u0301 \u1100\u1161 it's they'll 12,5\u00a0kg", "ÀÉ-ß_x'dd ''s\x0b9.9\x1c!", "\U0001f600 " * 9]
     return out
 
 
