@@ -75,3 +75,69 @@ def discover_routes(links: DataFrame, budget: int = 12) -> DataFrame:
 def worst(rows: DataFrame, by: str, measure_: str, row_id: str, n: int = 3) -> DataFrame:
     ranked = F.row_number().over(Window.partitionBy(by).orderBy(F.col(measure_).desc(), row_id))
     return rows.withColumn("rank", ranked).filter(F.col("rank") <= n)
+
+
+# What a sweep of live pages takes for a dead page, a login and an asset that no page needs.
+DEAD_TEXTS = [
+    (r"(?i)this deployment (cannot be found|has been deleted)", "deployment deleted"),
+    (r"(?i)404: NOT_FOUND|DEPLOYMENT_NOT_FOUND", "deployment not found"),
+    (r"(?i)Application error: a client-side exception", "client-side exception"),
+    (r"(?i)Internal Server Error", "internal server error"),
+]
+LOGIN = r"(?i)\b(sign in|log ?in|sign up|continue with|magic link|send sign-in link|email me a link|authenticate)\b"
+NEEDLESS = r"(?i)insights|analytics|gtag|googletagmanager|hotjar|clarity|sentry|posthog|vitals"
+NEEDED_TYPES = ["document", "script", "stylesheet"]
+PLATFORM_ERROR = r"DEPLOYMENT_NOT_FOUND|DEPLOYMENT_PAUSED|DEPLOYMENT_DISABLED|NOT_FOUND_ERROR"
+LEAST_TEXT, LOGIN_TEXT, BODY_READ = 60, 900, 8_000
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def request_severity(kind: Column, status: Column, url: Column) -> Column:
+    """Whether a request's failure is fatal to the page, needless to it, or nothing."""
+    failed = (status >= 400) & kind.isin(NEEDED_TYPES)
+    return F.when(failed & F.rlike(url, F.lit(NEEDLESS)), "needless").when(failed, "fatal").otherwise("none")
+
+
+def sweep_verdict(probes: DataFrame) -> DataFrame:
+    """probes(page_id, status, title, text, requires_auth, fatal, page_errors, sw_broken, needless, csp): the first verdict that applies, and why.
+
+    ``fatal``, ``page_errors``, ``needless`` and ``csp`` are counts; nulls count as absent, a null text as empty.
+    """
+    text = trimmed(F.coalesce("text", F.lit("")))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    told = lambda c: F.coalesce(F.col(c), F.lit(False))
+    say = lambda verdict, note: F.struct(F.lit(verdict).alias("verdict"), (note if isinstance(note, Column) else F.lit(note)).alias("note"))
+    status = F.concat(F.lit("HTTP "), F.col("status"))
+    named = F.when(F.length("title") > 0, F.col("title"))
+    cases = [
+        (told("requires_auth"), say("auth_wall", "not open to anyone")),
+        (count("status") == 0, say("unreachable", "no response")),
+        (F.col("status") >= 500, say("server_error", status)),
+        (F.col("status") == 404, say("not_found", status)),
+        *[(F.rlike(text, F.lit(pattern)), say("broken", label)) for pattern, label in DEAD_TEXTS],
+        (count("fatal") > 0, say("broken", F.concat(F.col("fatal"), F.lit(" fatal requests")))),
+        (count("page_errors") > 0, say("js_exception", F.concat(F.col("page_errors"), F.lit(" exceptions")))),
+        (F.length(text) < LEAST_TEXT, say("renders_nothing", F.concat(F.length(text), F.lit(" characters")))),
+        (F.rlike(text, F.lit(LOGIN)) & (F.length(text) < LOGIN_TEXT), say("ok_login_wall", F.coalesce(named, F.lit("login")))),
+        (told("sw_broken"), say("ok_sw_broken", "no offline support")),
+        (count("needless") > 0, say("ok_analytics_404", F.concat(F.col("needless"), F.lit(" needless requests")))),
+        (count("csp") > 0, say("ok_csp_warnings", F.concat(F.col("csp"), F.lit(" policy violations")))),
+    ]
+    verdict = say("ok", F.coalesce(named, F.lit("renders")))
+    for test, said in reversed(cases):
+        verdict = F.when(test, said).otherwise(verdict)
+    return probes.select("page_id", verdict.alias("v")).select("page_id", "v.verdict", "v.note")
+
+
+def reached_target(fetches: DataFrame) -> DataFrame:
+    """fetches(page_id, url, landed, status, body): null status is a failed request; whether the page asked for is what was got."""
+    body = F.substring(F.coalesce("body", F.lit("")), 1, BODY_READ)
+    title = trimmed(F.regexp_extract(body, r"<title[^>]*>([^<]*)", 1))
+    why = (
+        F.when(F.col("status").isNull(), "request failed").when(host(F.col("landed")) != host(F.col("url")), "off-origin")
+        .when(F.rlike(body, F.lit(PLATFORM_ERROR)) | F.rlike(title, F.lit(r"^(404|500|503):")), "platform error").when(~F.col("status").between(200, 299), "status").otherwise("ok")
+    )
+    return fetches.select("page_id", why.alias("reached"))
