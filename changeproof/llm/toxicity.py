@@ -142,18 +142,23 @@ def _landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], np.ndarra
     """Landmark words, and the evidence of each sequence for the toxic class (signed chi-square, not below 0)."""
     t, c = _document_counts(toxic), _document_counts(clean)
     n, m = len(toxic), len(clean)
-    share = (t + c) / (n + m)
+    often = np.flatnonzero(t >= 3)
+    tells = t[often] / n - c[often] / m
+    share = (t[often] + c[often]) / (n + m)
     with np.errstate(divide="ignore", invalid="ignore"):
-        z = (t / n - c / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    z = np.where((t >= 3) & (z > 5), z, 0.0) ** 2
-    candidates = {}
+        tells /= np.sqrt(share * (1 - share) * (1 / n + 1 / m))
+    z = np.zeros(_SIZE)
+    z[often] = np.where(tells > 5, tells, 0.0) ** 2
+    candidates, seen = {}, set()
     for text in toxic:
-        for w in _words(text):
-            if w not in candidates:
-                index, _ = next(sequences(np.array([*map(ord, w)], np.uint32)))
-                candidates[w] = np.unique(index[whole(index)])
+        for w in _words(text) - seen:
+            seen.add(w)
+            index, _ = next(sequences(np.array([*map(ord, w)], np.uint32)))
+            held = np.unique(index[whole(index)])
+            if len(held) and z[held].max() > 0:
+                candidates[w] = held
     left, chosen = z.copy(), []
-    names = sorted(w for w, i in candidates.items() if len(i) and z[i].max() > 0)
+    names = sorted(candidates)
     score = {w: left[candidates[w]].sum() / len(candidates[w]) ** 0.5 for w in names}
     for _ in range(LANDMARKS):
         if not names:
@@ -185,10 +190,13 @@ def _profile(word: str) -> dict[int, float]:
     return {i: v / norm for i, v in out.items()} if norm else {}
 
 
-def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """k(sentence, landmark) for all sentences, and the text of each. columns: row of profiles for each sequence, or -1."""
-    rows, owners = [], []
-    for first, codes, starts in chunks(texts, 500_000):
+def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """k(sentence, landmark) for the sentences that meet a landmark (the first ``most``), and the text of each.
+
+    columns: row of profiles for each sequence, or -1. The other sentences are all alike: their kernel is 0 throughout.
+    """
+    rows, owners, left = [], [], most
+    for first, codes, starts in chunks(texts, 50_000):
         begins = sentence_starts(codes, starts)
         k = np.zeros((len(begins), profiles.shape[1]), np.float32)
         for index, weight in sequences(codes):
@@ -197,21 +205,41 @@ def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray) -> tupl
             if len(at):
                 inside, where = np.unique(np.searchsorted(begins, at, side="right") - 1, return_index=True)
                 k[inside] += weight * np.add.reduceat(profiles[column[at]], where, axis=0)
-        rows.append(k)
-        owners.append(first + np.searchsorted(starts, begins, side="right") - 1)
+        met = np.flatnonzero(k.any(axis=1))[:left]
+        rows.append(k[met])
+        owners.append(first + np.searchsorted(starts, begins[met], side="right") - 1)
+        if left is not None:
+            left -= len(met)
+            if not left:
+                break
     return np.concatenate(rows), np.concatenate(owners)
 
 
+#: Rows that are widened to double precision at once.
+_BLOCK = 4_096
+
+
+def _map(k: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """k @ root, in the place of k."""
+    for at in range(0, len(k), _BLOCK):
+        k[at : at + _BLOCK] = k[at : at + _BLOCK] @ root
+    return k
+
+
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by Newton steps."""
-    x1 = np.hstack((x, np.ones((len(x), 1), x.dtype))).astype(np.float64)
-    w, ridge = np.zeros(x1.shape[1]), np.ones(x1.shape[1])
+    w, ridge = np.zeros(x.shape[1] + 1), np.ones(x.shape[1] + 1)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        margin = 1 - y * (x1 @ w)
-        on = margin > 0
-        xa, ca = x1[on], cost[on]
-        new = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(ridge), xa.T @ (ca * y[on]))
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for at in range(0, len(x), _BLOCK):
+            part, sign, price = x[at : at + _BLOCK], y[at : at + _BLOCK], cost[at : at + _BLOCK]
+            x1 = np.hstack((part, np.ones((len(part), 1))))
+            on = 1 - sign * (x1 @ w) > 0
+            xa, ca = x1[on], price[on]
+            left += (xa * ca[:, None]).T @ xa
+            right += xa.T @ (ca * sign[on])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = 0.5 * (w + new) if _ > 8 else new
@@ -249,13 +277,11 @@ def train(toxic: list[str], clean: list[str], rounds: int = 4, keep: int = 25_00
     values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
     root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
     k_toxic, of = _kernel(toxic, columns, phi)
-    k_clean, _ = _kernel(clean, columns, phi)
-    # Sentences that meet no landmark are all alike: one stands for them.
-    met = np.abs(k_clean).sum(axis=1) > 0
-    x_clean = np.vstack((k_clean[met][:keep], np.zeros((1, phi.shape[1]), np.float32))) @ root
-    x_toxic = k_toxic @ root
-    weight = evidence[known] @ phi
-    decision = k_toxic @ weight
+    k_clean, _ = _kernel(clean, columns, phi, keep)
+    # One sentence stands for the clean ones that meet no landmark; toxic ones of that kind say nothing.
+    x_clean = _map(np.vstack((k_clean, np.zeros((1, phi.shape[1]), np.float32))), root)
+    decision = k_toxic @ (evidence[known] @ phi)
+    x_toxic = _map(k_toxic, root)
     for turn in range(rounds):
         top = np.full(len(toxic), -np.inf)
         np.maximum.at(top, of, decision)
