@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,22 @@ def test_local_recursion_is_exact():
     assert [whole.root(i) for i in range(len(sets))] == [expected[i] for i in range(len(sets))]
 
 
+def test_sets_that_are_no_pivots_keep_a_common_part():
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    both, left, right = fresh(200), fresh(20), fresh(20)
+    pivots = [np.unique(np.concatenate((both, v, fresh(2)))) for v in (left, right) for _ in range(4)]
+    sets = []
+    for _ in range(40):
+        rest = fresh(int(r.integers(900, 3_000)))
+        sets += [np.unique(np.concatenate((both, v, rest, fresh(3)))) for v in (left, right)]
+    rows = pd.DataFrame({"region": 1, "shingles": [s.view(np.int64) for s in sets]})
+    parts = [set(p) for p in next(iter(jaccard_join._homes([rows], {1: pivots}, 75, 100)))["part"]]
+    distance = np.array([[1 - len(np.intersect1d(s, p)) / len(np.union1d(s, p)) for p in pivots] for s in sets])
+    assert parts == [set(np.flatnonzero(d <= d.min() + 0.5 + 1e-9).tolist()) for d in distance]
+    assert all(a & b for a, b in zip(parts[::2], parts[1::2], strict=True))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
