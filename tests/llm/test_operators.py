@@ -292,6 +292,27 @@ def test_urls(spark):
     assert (got[len(urls) - 2].verdict, got[len(urls) - 1].verdict) == ("block", "allow")
 
 
+def test_url_models_count_all_labelled_urls_whole(spark):
+    r = random.Random(5)
+    tail = lambda n: "".join(r.choice("abcdefgh/0123") for _ in range(n))
+    good, bad = [f"http://a.com/{tail(20)}" for _ in range(150)], [f"http://b.net/fr/{tail(20)}" for _ in range(150)]
+    good[0] += tail(2_500)
+    other = [None, "", "http://c.org/\u00e9", *(f"http://d.org/{tail(15)}" for _ in range(20))]
+    pages = spark.createDataFrame(list(enumerate(good + bad + bad[:9] + other)), "page_id long, url string")
+    frame = spark.createDataFrame([(u,) for u in good + bad], "url string")
+    marks = {x.url: x.mark for x in frame.select("url", F.xxhash64("url").alias("mark")).collect()}
+    # A fifth of the sample is held out for the threshold; all others are counted.
+    held = [[u for u in sorted(urls, key=marks.get)[:50] if marks[u] % 5 == 0] for urls in (good, bad)]
+    models = [url_model.Markov.fit([u.encode() for u in urls if u not in out], url_model.ORDER) for urls, out in zip((good, bad), held, strict=True)]
+    value = lambda u: np.subtract(*(m.log_probability(*url_model._padded([u.encode()], url_model.ORDER)).mean() for m in models))
+    cut = url_model.best_threshold(*(np.array([value(u) for u in out]) for out in held))
+    got = {x.page_id: x for x in url_model.filter_urls(pages, URL_RULES, sample=50).collect()}
+    assert len(got) == pages.count()
+    for i, u in enumerate(good + bad + bad[:9] + other):
+        assert got[i].score == pytest.approx(value(u or ""), abs=1e-9)
+        assert got[i].rule or got[i].verdict == ("allow" if value(u or "") >= cut else "block")
+
+
 def test_probabilities_sum_to_one():
     model = url_model.Markov.fit([b"abc", b"abd", b"xyz"], 3)
     for context in (b"ab", b"zz", b""):
