@@ -1,8 +1,9 @@
 """Toxicity: a support vector machine on a subsequence string kernel, with Nystrom landmarks.
 
-The kernel compares two strings by the subsequences of N letters that both contain, where up to one other character may stand
-between two letters; each such character costs the factor DECAY. So an insult keeps most of its value with a gap or an
-inserted character ("i.d.i.o.t"). Letters are compared without case and accents, common digits as the letters they look
+The kernel compares two strings by the subsequences of N letters that both contain. Up to SKIPPED other letters may stand between
+two of them, each at the factor DECAY, and any number of other characters: together they cost SEPARATED next to a letter
+that stands alone, else DECAY. So an insult keeps most of its value when it is spelled out ("i.d.i.o.t", "i - d - i - o - t"), and
+part of it with inserted letters. No sequence runs from one text to the next. Letters are compared without case and accents, common digits as the letters they look
 like. Landmarks are words of the training sentences: those of toxic documents whose letter sequences tell the classes
 apart, and others for contrast. The Nystrom map of a sentence is k(sentence, landmarks) K^-1/2, with K the landmarks' own kernel.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changeproof.llm.common import chunks, small_batches
 
-N, DECAY = 4, 0.5
+N, DECAY, SEPARATED, SKIPPED = 4, 0.5, 0.95, 2
 #: Labelled documents of each class that the machine is fitted on (smallest hashes), and the longest one taken.
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LANDMARKS, CONTRAST = 96, 32
@@ -50,25 +51,38 @@ def _letters() -> np.ndarray:
 _SYMBOL = _letters()
 _STOP = np.zeros(0x110000, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
-_PATTERNS = [(g, DECAY ** sum(g)) for g in product((0, 1), repeat=N - 1)]
-
-
-def sequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each way to leave gaps: the sequence number starting at each position (a 0 field where there is no letter), and its weight."""
-    s = np.concatenate((np.where(echoes(codes), 0, _SYMBOL[codes]), np.zeros(2 * N, np.uint8))).astype(np.int32)
-    pairs = [(s[:-2] << 5) | s[1:-1], (s[:-2] << 5) | s[2:]]
-    n = len(codes)
+_PATTERNS = [(g, DECAY ** sum(g)) for g in product(range(SKIPPED + 1), repeat=N - 1)]
+
+
+def letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where letters are, whether other characters stand between each and the next, and which stand alone between others."""
+    at = np.flatnonzero(~echoes(codes) & (_SYMBOL[codes] > 0))
+    apart = np.diff(at) > 1
+    return at, apart, np.concatenate(([True], apart)) & np.concatenate((apart, [True])) if len(at) else np.empty(0, bool)
+
+
+def sequences(codes: np.ndarray, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each way to skip letters (none at first): where sequences start, their numbers, and their weights. starts: those of the texts."""
+    at, apart, alone = letters(codes)
+    s = _SYMBOL[codes[at]].astype(np.int32)
+    step = np.where(apart, np.where(alone[1:] | alone[:-1], SEPARATED, DECAY), 1.0).astype(np.float32)
+    if starts is not None:
+        step[np.diff(np.searchsorted(starts, at, side="right")) > 0] = 0
+    reach = [np.ones(len(s), np.float32)]
+    for k in range((N - 1) * (SKIPPED + 1)):
+        reach.append(reach[-1][:-1] * step[k:])
     for (a, b, c), weight in _PATTERNS:
-        at = 1 + a + 1 + b
-        yield (pairs[a][:n] << 10) | pairs[c][at : at + n], weight
+        span = a + b + c + N - 1
+        n = max(len(s) - span, 0)
+        yield at[:n], (s[:n] << 15) | (s[a + 1 :][:n] << 10) | (s[a + b + 2 :][:n] << 5) | s[span:], np.float32(weight) * reach[span]
 
 
 def echoes(codes: np.ndarray) -> np.ndarray:
-    """Which characters belong to a word that repeats the word before it; such a word says nothing anew."""
+    """Which characters belong to a word that repeats the word before it; such a word says nothing anew. One or two characters may be spelling."""
     blank = codes <= 32
     begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     sizes = np.append(np.flatnonzero(blank & ~np.concatenate(([True], blank[:-1]))), len(codes))[: len(begins)] - begins
-    like = np.flatnonzero((sizes[1:] == sizes[:-1]) & (codes[begins[1:]] == codes[begins[:-1]])) + 1
+    like = np.flatnonzero((sizes[1:] > 2) & (sizes[1:] == sizes[:-1]) & (codes[begins[1:]] == codes[begins[:-1]])) + 1
     length = sizes[like]
     owner = np.repeat(np.arange(len(like)), length)
     step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -79,16 +93,16 @@ def echoes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def whole(index: np.ndarray) -> np.ndarray:
-    """Whether all N fields hold a letter."""
-    return ((index & 31) > 0) & ((index >> 5 & 31) > 0) & ((index >> 10 & 31) > 0) & (index >> 15 > 0)
-
-
 def sentence_starts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where sentences begin: at each text, after a line's end, after a stop and a blank, and every SENTENCE characters."""
+    """Where sentences begin: at each text, after a line's end, after a stop and a blank, and every SENTENCE characters.
+
+    No line or stop ends a sentence whose last letter stands alone ("i. d. i. o. t").
+    """
     blank = codes <= 32
-    after = (codes == 10) | (blank & np.concatenate(([False], _STOP[codes[:-1]])))
-    begins = np.union1d(starts[:-1], np.flatnonzero(after[:-1]) + 1)
+    after = np.flatnonzero((codes == 10) | (blank & np.concatenate(([False], _STOP[codes[:-1]]))))[:-1]
+    at, _, alone = letters(codes)
+    after = after[~np.concatenate(([False], alone))[np.searchsorted(at, after)]]
+    begins = np.union1d(starts[:-1], after + 1)
     lengths = np.diff(np.append(begins, len(codes)))
     extra = (lengths - 1) // SENTENCE
     if extra.any():
@@ -112,8 +126,8 @@ class Machine:
         out = []
         for _, codes, starts in chunks(texts):
             score = np.zeros(len(codes), np.float32)
-            for index, weight in sequences(codes):
-                score += np.float32(weight) * self.values[index]
+            for at, index, weight in sequences(codes, starts):
+                score[at] += weight * self.values[index]
             begins = sentence_starts(codes, starts)
             out.append(np.maximum.reduceat(np.add.reduceat(score, begins), np.searchsorted(begins, starts[:-1])) + self.bias)
         return np.concatenate(out) if out else np.empty(0)
@@ -126,9 +140,9 @@ def _document_counts(texts: list[str]) -> np.ndarray:
     """How many texts hold each sequence without gaps."""
     counts = np.zeros(_SIZE, np.int64)
     for _, codes, starts in chunks(texts):
-        index, _ = next(sequences(codes))
-        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        kept = whole(index)
+        at, index, weight = next(sequences(codes, starts))
+        owner = np.searchsorted(starts, at, side="right") - 1
+        kept = weight == 1
         pairs = np.unique(owner[kept].astype(np.int64) << 20 | index[kept])
         counts += np.bincount(pairs & _SIZE - 1, minlength=_SIZE)
     return counts
@@ -153,8 +167,7 @@ def _landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], np.ndarra
     for text in toxic:
         for w in _words(text) - seen:
             seen.add(w)
-            index, _ = next(sequences(np.array([*map(ord, w)], np.uint32)))
-            held = np.unique(index[whole(index)])
+            held = np.unique(next(sequences(np.array([*map(ord, w)], np.uint32)))[1])
             if len(held) and z[held].max() > 0:
                 candidates[w] = held
     left, chosen = z.copy(), []
@@ -183,9 +196,9 @@ def _landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], np.ndarra
 def _profile(word: str) -> dict[int, float]:
     """Weight of each sequence of a string, scaled to length 1."""
     out: dict[int, float] = {}
-    for index, weight in sequences(np.array([*map(ord, word)], np.uint32)):
-        for i in index[whole(index)]:
-            out[int(i)] = out.get(int(i), 0.0) + weight
+    for _, index, weight in sequences(np.array([*map(ord, word)], np.uint32)):
+        for i, x in zip(index.tolist(), weight.tolist(), strict=True):
+            out[i] = out.get(i, 0.0) + x
     norm = sum(v * v for v in out.values()) ** 0.5
     return {i: v / norm for i, v in out.items()} if norm else {}
 
@@ -199,12 +212,12 @@ def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray, most: i
     for first, codes, starts in chunks(texts, 50_000):
         begins = sentence_starts(codes, starts)
         k = np.zeros((len(begins), profiles.shape[1]), np.float32)
-        for index, weight in sequences(codes):
+        for at, index, weight in sequences(codes, starts):
             column = columns[index]
-            at = np.flatnonzero(column >= 0)
-            if len(at):
-                inside, where = np.unique(np.searchsorted(begins, at, side="right") - 1, return_index=True)
-                k[inside] += weight * np.add.reduceat(profiles[column[at]], where, axis=0)
+            held = np.flatnonzero((column >= 0) & (weight > 0))
+            if len(held):
+                inside, where = np.unique(np.searchsorted(begins, at[held], side="right") - 1, return_index=True)
+                k[inside] += np.add.reduceat(profiles[column[held]] * weight[held, None], where, axis=0)
         met = np.flatnonzero(k.any(axis=1))[:left]
         rows.append(k[met])
         owners.append(first + np.searchsorted(starts, begins[met], side="right") - 1)

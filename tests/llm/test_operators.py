@@ -374,6 +374,21 @@ def test_gapped_insults_score_like_plain_ones():
     assert value("zum-pfel") > other + 0.4 * (plain - other) and value("z.u.m.p.f.e.l") > other + 0.05 * (plain - other)
 
 
+def test_spelled_out_insults_are_predicted():
+    r = random.Random(4)
+    syllables = ("on", "er", "ing", "the", "tion", "sh", "re", "an")
+    line = lambda *x: " ".join([*("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(8)), *x]) + "."
+    machine = toxicity.train([line(r.choice(("zumpfel", "krabost", "drossek"))) for _ in range(100)], [line() for _ in range(300)])
+    for insult in ("zumpfel", "krabost", "drossek"):
+        for gap in ("", ".", " ", "**", " - ", "  ", ". ", " ... "):
+            assert machine.scores([line(gap.join(insult)) for _ in range(50)]).min() >= 0.3, (insult, gap)
+    for gap in ("", " ", "**", " - "):
+        assert machine.scores([line(gap.join("shering")) for _ in range(50)]).max() < 0.3
+    assert machine.scores([line() for _ in range(300)]).max() < 0.3
+    # A text scores as it does alone.
+    assert machine.scores(["on zump", "fel on"]) == pytest.approx(np.concatenate([machine.scores([t]) for t in ("on zump", "fel on")]))
+
+
 def test_marginals_agree_with_enumeration():
     r = np.random.default_rng(0)
     unary, t = r.normal(size=5), r.normal(size=(2, 2))
