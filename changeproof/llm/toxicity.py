@@ -29,6 +29,8 @@ N, DECAY, SEPARATED, SKIPPED = 4, 0.5, 0.95, 2
 #: Labelled documents of each class that the machine is fitted on (smallest hashes), and the longest one taken.
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LANDMARKS, CONTRAST = 96, 32
+#: Clean documents of the sample whose words may become landmarks for contrast.
+CONTRAST_DOCS = 200
 #: Longest sentence; a longer one is cut. Sequences may run over the cut.
 SENTENCE = 200
 _SIZE = 1 << 5 * N
@@ -152,7 +154,7 @@ def _words(text: str) -> set[str]:
     return {w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split() if len(w) >= N}
 
 
-def _landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], np.ndarray]:
+def _landmarks(toxic: list[str], clean: list[str], contrast_docs: int = CONTRAST_DOCS) -> tuple[list[str], np.ndarray]:
     """Landmark words, and the evidence of each sequence for the toxic class (signed chi-square, not below 0)."""
     t, c = _document_counts(toxic), _document_counts(clean)
     n, m = len(toxic), len(clean)
@@ -188,7 +190,7 @@ def _landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], np.ndarra
         chosen.append(best)
         names.remove(best)
         left[candidates[best]] *= 0.3
-    others = sorted({w for text in clean[:200] for w in _words(text)} - set(chosen))
+    others = sorted({w for text in clean[:contrast_docs] for w in _words(text)} - set(chosen))
     step = max(1, len(others) // CONTRAST)
     return chosen + others[::step][:CONTRAST], z
 
@@ -203,12 +205,12 @@ def _profile(word: str) -> dict[int, float]:
     return {i: v / norm for i, v in out.items()} if norm else {}
 
 
-def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """k(sentence, landmark) for the sentences that meet a landmark (the first ``most``), and the text of each.
+def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """k(sentence, landmark) for the sentences that meet a landmark, and the text of each.
 
     columns: row of profiles for each sequence, or -1. The other sentences are all alike: their kernel is 0 throughout.
     """
-    rows, owners, left = [], [], most
+    rows, owners = [], []
     for first, codes, starts in chunks(texts, 50_000):
         begins = sentence_starts(codes, starts)
         k = np.zeros((len(begins), profiles.shape[1]), np.float32)
@@ -218,13 +220,9 @@ def _kernel(texts: list[str], columns: np.ndarray, profiles: np.ndarray, most: i
             if len(held):
                 inside, where = np.unique(np.searchsorted(begins, at[held], side="right") - 1, return_index=True)
                 k[inside] += np.add.reduceat(profiles[column[held]] * weight[held, None], where, axis=0)
-        met = np.flatnonzero(k.any(axis=1))[:left]
+        met = np.flatnonzero(k.any(axis=1))
         rows.append(k[met])
         owners.append(first + np.searchsorted(starts, begins[met], side="right") - 1)
-        if left is not None:
-            left -= len(met)
-            if not left:
-                break
     return np.concatenate(rows), np.concatenate(owners)
 
 
@@ -274,12 +272,12 @@ def logistic_line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[fl
     return float(w[0] / scale), float(w[1])
 
 
-def train(toxic: list[str], clean: list[str], rounds: int = 4, keep: int = 25_000) -> Machine:
+def train(toxic: list[str], clean: list[str], rounds: int = 4, contrast_docs: int = CONTRAST_DOCS) -> Machine:
     """Fit on labelled texts. Without texts of both classes every score is the share of toxic ones (or one half)."""
     if not (toxic and clean):
         share = 0.5 if not (toxic or clean) else 0.98 if toxic else 0.02
         return Machine(np.zeros(_SIZE, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    landmarks, evidence = _landmarks(toxic, clean)
+    landmarks, evidence = _landmarks(toxic, clean, contrast_docs)
     profiles = [p for p in map(_profile, landmarks) if p]
     known = sorted({i for p in profiles for i in p})
     columns = np.full(_SIZE, -1, np.int32)
@@ -290,7 +288,7 @@ def train(toxic: list[str], clean: list[str], rounds: int = 4, keep: int = 25_00
     values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
     root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)) @ vectors.T
     k_toxic, of = _kernel(toxic, columns, phi)
-    k_clean, _ = _kernel(clean, columns, phi, keep)
+    k_clean, _ = _kernel(clean, columns, phi)
     # One sentence stands for the clean ones that meet no landmark; toxic ones of that kind say nothing.
     x_clean = _map(np.vstack((k_clean, np.zeros((1, phi.shape[1]), np.float32))), root)
     decision = k_toxic @ (evidence[known] @ phi)
@@ -333,15 +331,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_char
     return found[1], found[0]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, threshold: float = 0.3, most_chars: int = SAMPLE_CHARS, contrast_docs: int = CONTRAST_DOCS) -> DataFrame:
     """docs(doc_id, text, ...) with score and predicted added, one row for each row of docs.
 
-    labels(doc_id, toxic) are learned from where held_out (a condition on doc_id) is not true. score is between 0 and 1, higher where
+    labels(doc_id, toxic) are learned from where held_out (a condition on doc_id) is not true: every sentence of at most ``sample``
+    documents of each class of at most ``most_chars`` code points. Words of the first ``contrast_docs`` clean ones may be contrast landmarks. score is between 0 and 1, higher where
     toxic is likelier; predicted is 1 from ``threshold`` on. Null and empty texts score as texts without any letter. Null
     labels and null ids are not learned from. An empty table gives an empty one. Other columns are kept.
     """
     small_batches(docs.sparkSession)
-    machine = train(*learn(docs, labels.where(~held_out), "toxic", sample, SAMPLE_CHARS))
+    machine = train(*learn(docs, labels.where(~held_out), "toxic", sample, most_chars), contrast_docs=contrast_docs)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -389,6 +389,17 @@ def test_spelled_out_insults_are_predicted():
     assert machine.scores(["on zump", "fel on"]) == pytest.approx(np.concatenate([machine.scores([t]) for t in ("on zump", "fel on")]))
 
 
+def test_every_clean_sentence_is_fitted(monkeypatch):
+    fitted, svm = [], toxicity._svm
+    monkeypatch.setattr(toxicity, "_svm", lambda x, y, cost: fitted.append(int((y < 0).sum())) or svm(x, y, cost))
+    # 26,000 clean sentences that meet the landmark, and one word that only the last documents have.
+    clean = ["zumpe on. " * 100 + "x" for _ in range(259)] + ["zumpe on. " * 100 + "krabost"]
+    toxicity.train(["zumpfel er."] * 100, clean)
+    # All of them, and the one that stands for those without a landmark.
+    assert set(fitted) == {26_001}
+    assert "krabost" in toxicity._landmarks(["zumpfel er."] * 100, clean, contrast_docs=260)[0]
+
+
 def test_marginals_agree_with_enumeration():
     r = np.random.default_rng(0)
     unary, t = r.normal(size=5), r.normal(size=(2, 2))
