@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from changeproof.llm import block_naming, entropy_secrets, jaccard_join, quality_crf, rendezvous, reservoir_mix, spot_signatures, toxicity, url_model, vector_packing
+from changeproof.llm import block_naming, entropy_secrets, importance_resampling, jaccard_join, quality_crf, rendezvous, reservoir_mix, spot_signatures, toxicity, url_model, vector_packing
 
 #: Rules of the URL query: (verdict, host and path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -71,8 +71,15 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality_crf, op2_vector_packing, op3_jaccard_join, op4_spot_signatures, op5_block_naming, op6_rendezvous, op7_url_model, op8_reservoir_mix, op9_toxicity, op10_entropy_secrets)
+    made = (
+        op1_quality_crf, op2_vector_packing, op3_jaccard_join, op4_spot_signatures, op5_block_naming, op6_rendezvous, op7_url_model, op8_reservoir_mix, op9_toxicity, op10_entropy_secrets,
+        op11_importance_resampling,
+    )
     return {f.__name__: f for f in made}
 
 
