@@ -37,14 +37,27 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, rows)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, keeps columns prunable."""
+def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, keeps columns prunable.
+
+    rows_a_file bounds the rows of a file, for rows so large that a reader should not hold many at once; 0 sets no bound.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            if path.getName().startswith("table-"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunks(texts: Sequence[str | None], limit: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (index of the first text, code points of some texts joined by newlines, start of each text and one end more).
 

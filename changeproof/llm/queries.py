@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from changeproof.llm import block_naming, entropy_secrets, importance_resampling, jaccard_join, quality_crf, rendezvous, reservoir_mix, spectral_whitening, spot_signatures, toxicity, url_model, vector_packing
+from changeproof.llm import block_naming, entropy_secrets, importance_resampling, jaccard_join, katz_backoff, quality_crf, rendezvous, reservoir_mix, spectral_whitening, spot_signatures, toxicity, url_model, vector_packing
 
 #: Rules of the URL query: (verdict, host and path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -79,10 +79,14 @@ def op12_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral_whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_backoff.katz_scores(table(spark, sf_dir, "documents"), fold(5, 1))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_quality_crf, op2_vector_packing, op3_jaccard_join, op4_spot_signatures, op5_block_naming, op6_rendezvous, op7_url_model, op8_reservoir_mix, op9_toxicity, op10_entropy_secrets,
-        op11_importance_resampling, op12_spectral_whitening,
+        op11_importance_resampling, op12_spectral_whitening, op13_katz_backoff,
     )
     return {f.__name__: f for f in made}
 
