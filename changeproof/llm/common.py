@@ -48,6 +48,11 @@ def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's collector finds their plans unused."""
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made, once nothing reads them any more."""
     for df in tables:

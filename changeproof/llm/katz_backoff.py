@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changeproof.llm.common import forget, mixed, small_batches, written
+from changeproof.llm.common import forget, mixed, release, small_batches, written
 
 ORDER = 2
 #: Counts up to this one are discounted.
@@ -137,7 +137,9 @@ def answers(asked: DataFrame, kind: int) -> DataFrame:
         cuts = np.cumsum(sizes)[:-1]
         return pd.DataFrame({"chunk": rows["chunk"], "kind": np.int32(kind), "bucket": rows["bucket"], "sums": [t.ravel() for t in np.split(total, cuts)], "first": np.split(first, cuts)})
 
-    return written(asked.groupBy("bucket").applyInPandas(added, _ANSWER), rows_a_file=4_096)
+    found = written(asked.groupBy("bucket").applyInPandas(added, _ANSWER), rows_a_file=4_096)
+    release(found.sparkSession)
+    return found
 
 
 def _answered(rows: pd.DataFrame, kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +239,7 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk: in
             known.append(answers(_by_chunk(texts, known, _ASKED, lambda c, r, n=n: _context_sums(model, c, r, n)), 2 * n + 1))
     out = written(_by_chunk(texts, known, SCHEMA, lambda c, r: _scored(model, c, r)))
     forget(texts, *known)
+    release(docs.sparkSession)
     return out
 
 
