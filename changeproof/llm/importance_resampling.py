@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changeproof.llm.common import small_batches
+from changeproof.llm.common import small_batches, written
 from changeproof.operators.scale import number_rows
 
 #: Longest feature, in bytes, that goes through the matrices; a longer one has hardly another of its length and is taken alone.
@@ -219,6 +219,8 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = 10_000, percent:
     u = (F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), weighed(_utf8(F.col("text"))).alias("w"))
     rows = rows.select("doc_id", "tie", (F.col("w.words") >= least_words).alias("counts"), "w.n_features", "w.weight", (F.col("w.weight") + F.floor(F.lit(-1000.0) * F.log(-F.log(u)))).cast("long").alias("score"))
+    # Written, so that the range sort below, which reads its input twice, does not read the texts twice.
+    rows = written(rows)
     # The last column parts rows that are alike in all others, however many there are.
     order_by = [F.col("counts").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
     placed = number_rows(rows.withColumn("row", F.monotonically_increasing_id()), order_by, "place")
