@@ -11,10 +11,12 @@ against one packing of all is less than one open sequence a group. Full pieces n
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -58,34 +60,17 @@ def pack(lengths: np.ndarray, tokens: int, documents: int, attention: int, weigh
     return place, offset
 
 
-#: Parts the words of one call to the tokenizer; it is one token by itself. Words that hold it are sent alone.
-MARK, MARK_TOKEN = "~", "~</w>"
-
-
-def word_ids(tokenizer, words: list[str]) -> list[bytes]:
-    """The ids of each word, little-endian 32-bit: one call for all, parted by MARK, which costs half of a call a word."""
-    joined = [w for w in words if MARK not in w]
-    found = {w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if MARK in w}
-    if joined:
-        mark = tokenizer.token_to_id(MARK_TOKEN)
-        encoded = tokenizer.encode_batch_fast([f" {MARK} ".join(joined) + f" {MARK}"], add_special_tokens=False)[0]
-        ids = np.array(encoded.ids, "<u4")
-        ends = np.flatnonzero(ids == mark)
-        if len(ends) != len(joined):
-            raise ValueError("the tokenizer does not keep words apart")
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(joined, (4 * ends).tolist(), strict=True):
-            found[w] = raw[at:end]
-            at = end + 4
-    return [found[w] for w in words]
-
-
 #: Texts of these characters only are cut into the tokenizer's own words here, as lower-case letters, digits and the rest;
 #: each kind of word then meets the tokenizer once. Other texts, and those that may hold the name of a special token, are
 #: cut at white space, which it never joins across.
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _CHUNK = re.compile("[^ \t-\r]+")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+", re.A)
+#: What a tokenizer's file must say for its texts to be cut so.
+_CUT_SO = {
+    "normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"],
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
 
 
 def words_in(text: str) -> list[str]:
@@ -93,31 +78,86 @@ def words_in(text: str) -> list[str]:
     return _WORD.findall(text.lower()) if "<|" not in text and _PLAIN.fullmatch(text) else _CHUNK.findall(text)
 
 
-def _tokenised(batches, path: str, end: int, limit: int, cache_words: int = 250_000):
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer's file says that texts are the same as their words_in, one after the other."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    steps = lambda name, inner: [x["type"] for x in (said.get(name) or {}).get(inner, [])]
+    if steps("normalizer", "normalizers") != _CUT_SO["normalizer"] or steps("pre_tokenizer", "pretokenizers") != _CUT_SO["pre_tokenizer"]:
+        return False
+    return said["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _CUT_SO["split"]} and said.get("post_processor") is None
+
+
+class WordTable(dict):
+    """Ids of the words seen last: one row a word, all rows in one array, so that the ids of many words are one look-up."""
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most, self.fresh = tokenizer, most, []
+        self.ids, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self)
+        self.fresh.append(word)
+        return row
+
+    def _take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, sizes = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)], sizes
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each). Words that are new meet the tokenizer in one call."""
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            # Words of a to z come through normaliser and pre-tokeniser as they are, so the model may have them at once.
+            plain = [w.isascii() and w.isalpha() and w.islower() for w in self.fresh]
+            encoded = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(self.fresh, plain, strict=True) if not p], add_special_tokens=False))
+            model = self.tokenizer.model
+            parts = [[t.id for t in model.tokenize(w)] if p else next(encoded).ids for w, p in zip(self.fresh, plain, strict=True)]
+            sizes, self.fresh = [len(x) for x in parts], []
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(parts), "<u4", sum(sizes))))
+        found = self._take(rows)
+        if len(self) > self.most:
+            # The older half goes.
+            kept = list(self)[len(self) // 2 :]
+            self.ids, sizes = self._take(np.arange(len(self) // 2, len(self)))
+            self.starts = np.concatenate(([0], np.cumsum(sizes)))
+            self.clear()
+            self.update(zip(kept, range(len(kept)), strict=True))
+        return found
+
+
+def _pieces(ids: np.ndarray, limit: int) -> list[dict]:
+    parts = [ids[start : start + limit] for start in range(0, len(ids), limit)]
+    return [{"piece": i, "start": i * limit, "length": len(x), "ids_crc32": zlib.crc32(x.tobytes())} for i, x in enumerate(parts)]
+
+
+def _tokenised(batches, path: str, end: int, limit: int, cache_words: int = 400_000, block_chars: int = 2_000_000):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    table, last = WordTable(tokenizer, cache_words) if cuts_words(path) else None, np.array([end], "<u4")
     for batch in batches:
-        out = []
-        for text in batch:
-            words = words_in(text) if isinstance(text, str) else []
-            missing = list({x for x in words if x not in known})
-            if missing:
-                if len(known) + len(missing) > cache_words:
-                    known, missing = {}, list(set(words))
-                for at in range(0, len(missing), 5_000):
-                    part = missing[at : at + 5_000]
-                    known.update(zip(part, word_ids(tokenizer, part), strict=True))
-            ids = b"".join([known[x] for x in words]) + np.array([end], "<u4").tobytes()
-            parts = [ids[start : start + 4 * limit] for start in range(0, len(ids), 4 * limit)]
-            out.append([{"piece": i, "start": i * limit, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for i, x in enumerate(parts)])
+        texts = [t if isinstance(t, str) else "" for t in batch]
+        sizes, out = np.cumsum([len(t) for t in texts]), []
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // block_chars)) + 1):
+            if table is None:
+                out += [_pieces(np.append(np.array(e.ids, "<u4"), last), limit) for e in tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
+                continue
+            words = [words_in(texts[i]) for i in part]
+            ids, lengths = table.lookup([w for own in words for w in own])
+            at = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum([len(own) for own in words])))]
+            out += [_pieces(np.append(ids[a:b], last), limit) for a, b in zip(at, at[1:], strict=False)]
         yield pd.Series(out)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, piece, start, length, ids_crc32): ids of the whole text, then end_id, cut at limit."""
+    """docs(doc_id, text) to (doc_id, piece, start, length, ids_crc32): ids of the whole text, then end_id, cut at limit.
+
+    Where the tokenizer's file says that it cuts words as words_in does, each kind of word meets the tokenizer once; any other gets whole texts.
+    """
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -173,6 +173,41 @@ def test_packing(docs, rows):
     assert len(bins) <= math.ceil(sum(r["length"] for r in got) / 4096) + 1
 
 
+def test_ids_by_words_are_those_of_whole_texts():
+    tokenizer, batches = Tokenizer.from_file(TOKENIZER), [pd.Series(texts()), pd.Series([*texts()[::-1], "neue Wörter hier"])]
+    for words, chars in ((400_000, 2_000_000), (50, 1_000)):
+        for batch, got in zip(batches, vector_packing._tokenised(batches, TOKENIZER, 1, 64, words, chars), strict=True):
+            for text, pieces in zip(batch, got, strict=True):
+                ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+                assert pieces == [{"piece": k // 64, "start": k, "length": len(ids[k : k + 64]), "ids_crc32": zlib.crc32(ids[k : k + 64].tobytes())} for k in range(0, len(ids), 64)]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert vector_packing.cuts_words(TOKENIZER) and not vector_packing.cuts_words(other)
+    tokenizer = Tokenizer.from_file(other)
+    got = next(vector_packing._tokenised([pd.Series(texts())], other, 1, 10**9))
+    assert [p[0]["length"] for p in got] == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts()]
+
+
+def test_placement_is_a_plain_best_fit():
+    r = random.Random(9)
+    for rule in ("norm", "dot"):
+        lengths, capacity, w = [r.randint(1, 60) for _ in range(150)], (100, 4, 6_000), (1.0, 0.3, 0.6)
+        open_, expected = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            v = (lengths[i], 1, lengths[i] ** 2)
+            fits = [k for k, left in enumerate(open_) if all(a >= b for a, b in zip(left, v, strict=True))]
+            cost = lambda k: sum(x * ((a - b) / c) ** 2 if rule == "norm" else -x * b / c * a / c for x, a, b, c in zip(w, open_[k], v, capacity, strict=True))  # noqa: B023, E731
+            best = min(fits, key=cost) if fits else len(open_)
+            if not fits:
+                open_.append(capacity)
+            expected[i] = (best, capacity[0] - open_[best][0])
+            open_[best] = tuple(a - b for a, b in zip(open_[best], v, strict=True))
+        place, offset = vector_packing.pack(np.array(lengths), *capacity, w, rule)
+        assert [expected[i] for i in range(len(lengths))] == list(zip(place.tolist(), offset.tolist(), strict=True))
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     lengths = np.array([random.Random(3).randint(1, 300) for _ in range(400)])
