@@ -56,16 +56,16 @@ _STOP[[ord(c) for c in ".!?"]] = True
 _PATTERNS = [(g, DECAY ** sum(g)) for g in product(range(SKIPPED + 1), repeat=N - 1)]
 
 
-def letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where letters are, whether other characters stand between each and the next, and which stand alone between others."""
-    at = np.flatnonzero(~echoes(codes) & (_SYMBOL[codes] > 0))
+def letters(codes: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where letters are, whether other characters stand between each and the next, and which stand alone between others. starts: those of the texts."""
+    at = np.flatnonzero(~echoes(codes, starts) & (_SYMBOL[codes] > 0))
     apart = np.diff(at) > 1
     return at, apart, np.concatenate(([True], apart)) & np.concatenate((apart, [True])) if len(at) else np.empty(0, bool)
 
 
 def sequences(codes: np.ndarray, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each way to skip letters (none at first): where sequences start, their numbers, and their weights. starts: those of the texts."""
-    at, apart, alone = letters(codes)
+    at, apart, alone = letters(codes, starts)
     s = _SYMBOL[codes[at]].astype(np.int32)
     step = np.where(apart, np.where(alone[1:] | alone[:-1], SEPARATED, DECAY), 1.0).astype(np.float32)
     if starts is not None:
@@ -79,12 +79,13 @@ def sequences(codes: np.ndarray, starts: np.ndarray | None = None) -> Iterator[t
         yield at[:n], (s[:n] << 15) | (s[a + 1 :][:n] << 10) | (s[a + b + 2 :][:n] << 5) | s[span:], np.float32(weight) * reach[span]
 
 
-def echoes(codes: np.ndarray) -> np.ndarray:
-    """Which characters belong to a word that repeats the word before it; such a word says nothing anew. One or two characters may be spelling."""
+def echoes(codes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Which characters belong to a word that repeats the word before it in the same text; such a word says nothing anew. One or two characters may be spelling."""
     blank = codes <= 32
     begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     sizes = np.append(np.flatnonzero(blank & ~np.concatenate(([True], blank[:-1]))), len(codes))[: len(begins)] - begins
-    like = np.flatnonzero((sizes[1:] > 2) & (sizes[1:] == sizes[:-1]) & (codes[begins[1:]] == codes[begins[:-1]])) + 1
+    text = np.searchsorted(starts, begins, side="right") if starts is not None else np.zeros(len(begins), np.int64)
+    like = np.flatnonzero((sizes[1:] > 2) & (sizes[1:] == sizes[:-1]) & (codes[begins[1:]] == codes[begins[:-1]]) & (text[1:] == text[:-1])) + 1
     length = sizes[like]
     owner = np.repeat(np.arange(len(like)), length)
     step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -102,7 +103,7 @@ def sentence_starts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     blank = codes <= 32
     after = np.flatnonzero((codes == 10) | (blank & np.concatenate(([False], _STOP[codes[:-1]]))))[:-1]
-    at, _, alone = letters(codes)
+    at, _, alone = letters(codes, starts)
     after = after[~np.concatenate(([False], alone))[np.searchsorted(at, after)]]
     begins = np.union1d(starts[:-1], after + 1)
     lengths = np.diff(np.append(begins, len(codes)))
@@ -337,7 +338,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample
     labels(doc_id, toxic) are learned from where held_out (a condition on doc_id) is not true: every sentence of at most ``sample``
     documents of each class of at most ``most_chars`` code points. Words of the first ``contrast_docs`` clean ones may be contrast landmarks. score is between 0 and 1, higher where
     toxic is likelier; predicted is 1 from ``threshold`` on. Null and empty texts score as texts without any letter. Null
-    labels and null ids are not learned from. An empty table gives an empty one. Other columns are kept.
+    labels and null ids are not learned from. An empty table gives an empty one. Other columns are kept, but for score and predicted, which
+    are replaced.
+
+    A text scores by its own characters alone, so equal texts score equally wherever they stand. A sentence of more than SENTENCE
+    characters is scored in parts of that many (the parts' sequences run on over the cut, and the highest part counts), and a word of
+    three or more characters that repeats the word before it counts once.
     """
     small_batches(docs.sparkSession)
     machine = train(*learn(docs, labels.where(~held_out), "toxic", sample, most_chars), contrast_docs=contrast_docs)
