@@ -5,7 +5,8 @@ with the smallest keys are an exact weighted sample without replacement. A targe
 every document q times first (the complete epochs) and then documents in key order until their summed sizes reach the rest.
 
 Sums run over key ranges: a range's total is aggregated map-side, ranges are summed up in order, and only rows within a
-range are sorted together. So a source that holds a third of all rows is spread over RANGES groups.
+range are sorted together. Ranges are equal steps of the key's logarithm. Whatever the weight w, the keys -ln(u) / w spread the same way
+around 1 / w there, and a step of 1 / STEPS holds at most 1 / (e * STEPS) of them: a source that holds a third of all rows is spread over thousands of groups.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from changeproof.llm.common import written
 
-RANGES = 4096
+STEPS = 2048
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -51,31 +52,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     floor(target / source_size) epochs of size, and what the fractional selection takes: all of the documents whose words fit the
     rest of the target, in key order, and of the one in which it ends the first words up to there. Rows of size 0 take
     0. A null source is a source of its own. Repeated rows have the same key and are ordered by the text's hash and size, so
-    reruns agree. An empty table gives an empty one. Other columns are kept.
+    reruns agree. An empty table gives an empty one. Other columns are kept, whatever their names, but for columns named as the four that are added,
+    which these replace: a caller that needs them packs them into a struct, as the pipeline does.
     """
     words = words_of(F.col("text").cast("string"))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = docs.withColumn("mix_words", words)
-    rows = rows.withColumns({"size": F.size("mix_words").cast("long"), "mix_weight": F.lit(0.1) + F.when(F.size("mix_words") == 0, F.lit(0.0)).otherwise(0.9 * F.size(F.array_distinct("mix_words")) / F.size("mix_words"))})
-    rows = rows.drop("mix_words").withColumn("mix_key", -F.log(u) / F.col("mix_weight"))
-    # The chance that a key of weight 1 is below this one: monotone in the key, so ranges follow one another.
-    rows = rows.withColumn("mix_range", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
-    return _taken(rows, weights, most)
+    # The caller's columns ride along as one, so that none of their names meets one of the names below.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("tie"), u.alias("u"), words.alias("words"))
+    size, kinds = F.size("words"), F.size(F.array_distinct("words"))
+    weight = F.lit(0.1) + F.when(size == 0, F.lit(0.0)).otherwise(0.9 * kinds / size)
+    rows = rows.select("row", "doc_id", "source", "tie", size.cast("long").alias("size"), (-F.log("u") / weight).alias("key"))
+    # The logarithm is monotone, so ranges follow one another.
+    taken = _taken(rows.withColumn("range", F.floor(F.log("key") * STEPS).cast("int")), weights, most)
+    made = ("size", "source_size", "target", "taken")
+    return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in made), *made)
 
 
 def _taken(rows: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
-    # At most RANGES rows a source; written, as it is read three times.
-    ranges = written(rows.groupBy("source", "mix_range").agg(F.sum("size").alias("range_size")))
+    # At most about 90,000 rows a source (keys are between 1e-16 and 400); written, as it is read three times.
+    ranges = written(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, most)
-    before = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each source and range.
     plan = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source"))
-    plan = plan.select(F.col("r.source").alias("plan_source"), F.col("mix_range").alias("plan_range"), "source_size", "target", "range_start")
-    within = Window.partitionBy("source", "mix_range").orderBy("mix_key", F.col("doc_id"), "mix_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("mix_tie", F.xxhash64("text")).withColumn("mix_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = rows.join(plan, F.expr("source <=> plan_source AND mix_range = plan_range"))
+    plan = plan.select(F.col("r.source").alias("plan_source"), F.col("range").alias("plan_range"), "source_size", "target", "range_start")
+    within = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id"), "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = rows.join(plan, F.expr("source <=> plan_source AND range = plan_range"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
-    room = F.floor(rest) - F.col("range_start") - F.col("mix_start")
+    room = F.floor(rest) - F.col("range_start") - F.col("start")
     taken = F.col("size") * epochs + F.greatest(F.lit(0), F.least(F.col("size"), room))
-    return joined.withColumn("taken", taken.cast("long")).drop("mix_key", "mix_weight", "mix_range", "mix_start", "mix_tie", "plan_source", "plan_range", "range_start")
+    return joined.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -237,7 +237,7 @@ def test_weights_of_shards_hold(spark):
 
 
 def test_mix(docs, rows):
-    got = reservoir_mix.mix(docs.drop("size")).collect()
+    got = reservoir_mix.mix(docs).collect()
     sizes = defaultdict(int)
     for r in rows:
         sizes[r[3]] += len(re.findall(WORDS, r[1] or ""))
@@ -258,10 +258,17 @@ def test_mix(docs, rows):
         assert r["size"] * (target[r.source] // r.source_size) <= r.taken
         taken[r.source] += r.taken
     assert all(abs(taken[k] - target[k]) <= 1 for k in names)
-    again = reservoir_mix.mix(docs.drop("size").repartition(3)).collect()
+    again = reservoir_mix.mix(docs.repartition(3).withColumns({c: F.lit("own") for c in ("target", "range", "key", "row", "tie", "start", "range_start", "plan_range", "source_size", "taken", "u", "words")})).collect()
+    assert all(r.range == r.key == r.row == r.tie == r.start == r.range_start == r.plan_range == r.u == r.words == "own" for r in again)
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
 
 
+def test_ranges_hold_few_rows_whatever_the_weights(spark):
+    rows = spark.range(200_000).select((-F.log(F.rand(3)) / F.lit(0.1) / F.greatest(F.lit(1), F.col("id") % 10)).alias("key"))
+    counts = rows.groupBy(F.floor(F.log("key") * reservoir_mix.STEPS)).count()
+    assert counts.agg(F.max("count")).first()[0] < 200_000 / 1_000
+
+
 def test_edited_fingerprints(docs, rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     expected = Counter()
@@ -424,6 +431,45 @@ def test_spelled_out_insults_are_predicted():
     assert machine.scores(["on zump", "fel on"]) == pytest.approx(np.concatenate([machine.scores([t]) for t in ("on zump", "fel on")]))
 
 
+def test_equal_texts_score_equally():
+    r = random.Random(6)
+    syllables = ("on", "er", "ing", "the", "tion", "sh", "re", "an")
+    line = lambda *x: " ".join([*("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(8)), *x]) + "."
+    machine = toxicity.train([line("zumpfel") for _ in range(100)], [line() for _ in range(300)])
+    assert len(set(machine.scores(["zumpfel"] * 3))) == 1 and machine.scores(["zumpfel"] * 3)[2] >= 0.3
+    pool = ["zumpfel", "", "x", "zumpfel zumpfel on", "on on", "z u m p f e l", "a. b", "er. zumpfel", "zumpfel" + " ing" * 90, line(), line("zumpfel"), "\n\n", "z. u. m. p."]
+    alone = {t: machine.scores([t])[0] for t in pool}
+    for _ in range(40):
+        batch = [r.choice(pool) for _ in range(r.randint(1, 30))]
+        assert machine.scores(batch) == pytest.approx([alone[t] for t in batch], abs=1e-6)
+
+
+def test_kernel_agrees_with_plain_enumeration():
+    # All ways to pick N letters in turn with at most SKIPPED letters between two; separators cost as the module says.
+    def profile(text):
+        letters = [(i, toxicity._SYMBOL[ord(c)]) for i, c in enumerate(text) if toxicity._SYMBOL[ord(c)]]
+        apart = [b[0] - a[0] > 1 for a, b in zip(letters, letters[1:], strict=False)]
+        alone = [(k == 0 or apart[k - 1]) and (k == len(letters) - 1 or apart[k]) for k in range(len(letters))]
+        step = [(toxicity.SEPARATED if alone[k] or alone[k + 1] else toxicity.DECAY) if gap else 1.0 for k, gap in enumerate(apart)]
+        out = defaultdict(float)
+        for first in range(len(letters)):
+            ways = [((first,), 1.0)]
+            for _ in range(toxicity.N - 1):
+                ways = [((*w, w[-1] + 1 + s), v * toxicity.DECAY**s * math.prod(step[w[-1] : w[-1] + 1 + s])) for w, v in ways for s in range(toxicity.SKIPPED + 1) if w[-1] + 1 + s < len(letters)]
+            for w, v in ways:
+                out[sum(int(letters[k][1]) << 5 * (toxicity.N - 1 - j) for j, k in enumerate(w))] += v
+        return out
+
+    for text in ("zumpfel", "z-u m.pf el", "a b c d e", "on the zumpfel, er ing", "xy", "zum  pfel on", "4bc d5e"):
+        got = defaultdict(float)
+        for _, index, weight in toxicity.sequences(np.array([*map(ord, text)], np.uint32)):
+            for i, w in zip(index.tolist(), weight.tolist(), strict=True):
+                got[i] += w
+        expected = profile(text)
+        assert {i for i, w in got.items() if w > 0} == set(expected)
+        assert all(got[i] == pytest.approx(w, rel=1e-5) for i, w in expected.items()), text
+
+
 def test_every_clean_sentence_is_fitted(monkeypatch):
     fitted, svm = [], toxicity._svm
     monkeypatch.setattr(toxicity, "_svm", lambda x, y, cost: fitted.append(int((y < 0).sum())) or svm(x, y, cost))
