@@ -506,6 +506,38 @@ def test_empty_tables(spark, docs, labels):
     assert all(e.count() == 0 for e in empty)
 
 
+#: Names that the stages use inside.
+INSIDE = (
+    "size source_size target taken copy row range key start tie u words range_start plan_source plan_range weight stop level mix_key mix_range kept_columns score predicted "
+    "rid name n id best head length norm number component_id root node rep d1 d2 region cell cells part block grp piece column_0 column_1 column_5"
+).split()
+
+
+def test_stages_keep_columns_of_any_name(spark, rows, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame([(*r, *(f"{c} of {i}" for c in INSIDE)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INSIDE))
+    known = {tuple(r[c] for c in INSIDE): r for r in frame.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, str(tmp_path)).collect()
+        assert got and len(got) >= len(rows) / 4, name
+        for r in got:
+            own = known[tuple(r[c] for c in INSIDE)]
+            assert (r.doc_id, r.lang, r.source) == (own.doc_id, own.lang, own.source) and (r.text == own.text or name == "mixing"), name
+    corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()
+
+
+def test_near_copies_of_repeated_ids(spark):
+    t = " ".join(f"word{i}" for i in range(60))
+    other, third = " ".join(f"other{i}" for i in range(60)), " ".join(f"third{i}" for i in range(60))
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    rows = [(1, t), (5, t + " x"), (5, other), (5, other + " y"), (None, third), (None, third + " z"), (7, third + " w"), (None, None), (8, ""), (8, "")]
+    for n in (1, 3):
+        got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(n), "").collect()
+        kept = Counter((r.doc_id, (r.text or "").split(" ")[0]) for r in got)
+        assert kept == {(1, "word0"): 1, (5, "other0"): 1, (7, "third0"): 1, (None, ""): 1, (8, ""): 2}
+    assert {r.doc_id for r in stage(spark, spark.createDataFrame([(1, t), (2, t + " x"), (3, other)], "doc_id long, text string"), "").collect()} == {1, 3}
+
+
 def test_pipeline_stages(spark, docs, labels, rows, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
