@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -49,7 +50,11 @@ def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's collector finds their plans unused."""
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's collectors find their plans unused.
+
+    Python's comes first, since its DataFrames hold those of the JVM.
+    """
+    gc.collect()
     spark._jvm.System.gc()
 
 
