@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from changeproof.operators.seed import hash_nodes, row_hash
+
 # Two dialects of requirement ids.
 SPEC_ID, SCENARIO_ID = r"^[A-Z][A-Z0-9]*-[0-9]+$", r"^[A-Z][A-Z0-9]*(-[A-Z0-9]+)+$"
 
@@ -90,30 +92,27 @@ def gate_status(compared: DataFrame, base: DataFrame, now: DataFrame, by: list[s
     return both.select(*by, status.alias("status"))
 
 
-def row_hash(columns: list[str]) -> Column:
-    """sha256 of a row's values as text, null marked, in the order given."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
-
-
-def table_digest(df: DataFrame, columns: list[str], by: list[str], prefix: int = 4) -> DataFrame:
-    """A digest of each group's rows that does not depend on their order, and the row count.
-
-    Row hashes are gathered by their first digits, each such part sorted and hashed by itself, and the at most 16 ** prefix
-    part digests sorted and hashed again; so no task holds the rows of a large group.
-    """
-    hashed = df.select(*by, row_hash(columns).alias("h")).withColumn("part", F.substring("h", 1, prefix))
-    parts = hashed.groupBy(*by, "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.count("*").alias("n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
-    return parts.groupBy(*by).agg(F.sha2(whole, 256).alias("digest"), F.sum("n").alias("n_rows"))
+def table_digest(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """A digest of each group's rows, the root of its hash tree, that does not depend on their order, and the row count."""
+    hashed = df.select(*by, row_hash(columns).alias("h"))
+    return hash_nodes(hashed, by).where("node = ''").select(*by, "digest", F.col("n").alias("n_rows"))
 
 
 def seed_vs_observed(seed: DataFrame, observed: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Groups with digest and row count on both sides, and whether they agree."""
+    """Groups with digest and row count on both sides, and whether they agree. ``seed.differing_rows`` names the rows."""
     s, o = (table_digest(df, columns, by).withColumnsRenamed({"digest": f"{p}_digest", "n_rows": f"{p}_rows"}) for p, df in (("seed", seed), ("observed", observed)))
-    both = s.join(o, by, "full").fillna(0, ["seed_rows", "observed_rows"])
+    both = null_safe_full(s, o, by).fillna(0, ["seed_rows", "observed_rows"])
     return both.withColumn("agree", F.col("seed_digest").eqNullSafe(F.col("observed_digest")))
 
 
+def null_safe_full(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A full join in which null keys are equal; each key stands once."""
+    l, r = left.withColumn("__l", F.lit(True)), right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    both = l.join(r, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], "full")
+    named = [F.when(F.col("__l"), F.col(k)).otherwise(F.col(f"__r_{k}")).alias(k) for k in keys]
+    return both.select(*named, *(c for c in [*left.columns, *right.columns] if c not in keys))
+
+
 def stale_tenants(tenants: DataFrame, keep: DataFrame, cutoff: Column, prefix: str) -> DataFrame:
     """tenants(tenant, last_used): those with the prefix, used before the cutoff and not to be kept."""
     old = tenants.filter(F.startswith(F.col("tenant"), F.lit(prefix)) & (F.col("last_used") < cutoff))

@@ -2,12 +2,12 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# What stands for a redacted value, and the header and parameter names that are always redacted.
+# What stands for a redacted value, the header and parameter names that are always redacted, and the forms of tokens.
 REDACTED, UNPARSEABLE = "[REDACTED]", "[UNPARSEABLE_URL]"
-HEADERS = ("authorization", "cookie", "set-cookie", "x-api-key", "proxy-authorization")
-PARAMETERS = ("token", "access_token", "id_token", "refresh_token", "code", "key", "api_key", "secret", "password", "session")
-JWT = r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
-BEARER = r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+"
+HEADERS = ("authorization", "cookie", "set-cookie", "apikey", "x-api-key", "x-auth-token", "proxy-authorization", "x-csrf-token")
+PARAMETERS = ("token", "access_token", "refresh_token", "apikey", "api_key", "key", "sig", "signature", "password", "secret")
+JWT = r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"
+BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}=*"
 LEAST_SECRET = 8
 
 
@@ -35,26 +35,54 @@ def redact_text(text: Column, secrets: list[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(out, JWT, REDACTED), BEARER, REDACTED)
 
 
-def redact_headers(headers: Column) -> Column:
-    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*HEADERS), F.lit(REDACTED)).otherwise(v))
+def redact_headers(headers: Column, secrets: tuple[str, ...] = (), names: tuple[str, ...] = HEADERS) -> Column:
+    """Values of deny-listed headers; the other values as text."""
+    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*names), F.lit(REDACTED)).otherwise(redact_text(v, list(secrets))))
 
 
-def redact_nested(items: Column, secrets: list[str]) -> Column:
-    """Every key and value of a map of strings."""
-    return F.transform_values(F.transform_keys(items, lambda k, _: redact_text(k, secrets)), lambda _, v: redact_text(v, secrets))
+#: A JSON string with its quotes, once escaped backslashes and quotes are marked.
+_STRING = r'"[^"]*"'
+_MARKS = (("\\\\", "\u0001"), ('\\"', "\u0002"))
 
 
-def redact_url(url: Column, names: tuple[str, ...] = PARAMETERS) -> Column:
-    """Values of deny-listed query parameters; what has no scheme and host is not shown at all."""
+def redact_nested(json: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """JSON text of any depth with every key and string value redacted as text; null where the text is not JSON.
+
+    Strings are the only parts of JSON that can hold a quote, so the text falls apart into strings and what stands between them. Each
+    string is decoded, redacted and written again, and the parts are put together in their old order: no depth is too great.
+    Escaped backslashes and quotes are marked meanwhile by control characters, which JSON text never holds as they are.
+    """
+    marked = F.to_json(F.try_parse_json(json))
+    for escape, mark in _MARKS:
+        marked = F.replace(marked, F.lit(escape), F.lit(mark))
+    between, strings = F.split(marked, _STRING), F.regexp_extract_all(marked, F.lit(_STRING), F.lit(0))
+
+    def again(s: Column) -> Column:
+        for escape, mark in reversed(_MARKS):
+            s = F.replace(s, F.lit(mark), F.lit(escape))
+        plain = F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")[0]
+        text = F.to_json(F.array(redact_text(plain, list(secrets))))
+        return F.substring(text, 2, 1 << 30).substr(F.lit(1), F.length(text) - 2)
+
+    # There is one part more between than there are strings.
+    return F.array_join(F.zip_with(between, F.transform(strings, again), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def redact_url(url: Column, names: tuple[str, ...] = PARAMETERS, secrets: tuple[str, ...] = ()) -> Column:
+    """Values of deny-listed query parameters, whose names count decoded and in any case; the rest as text.
+
+    What has no scheme and host is not shown at all.
+    """
     head, query, tail = (F.regexp_extract(url, r"(?s)^([^?#]*)(\?[^#]*)?(#.*)?$", k) for k in (1, 2, 3))
 
     def one(pair: Column) -> Column:
-        name = F.split(pair, "=")[0]
-        return F.when(F.lower(name).isin(*names) & F.contains(pair, F.lit("=")), F.concat(name, F.lit(f"={REDACTED}"))).otherwise(pair)
+        name = F.regexp_extract(pair, r"(?s)^([^=]*)", 1)
+        denied = F.lower(F.coalesce(F.try_url_decode(name), name)).isin(*names)
+        return F.when(denied, F.concat(name, F.lit(f"={REDACTED}"))).otherwise(pair)
 
     clean = F.concat(F.lit("?"), F.array_join(F.transform(F.split(F.substring(query, 2, 1 << 30), "&"), one), "&"))
     whole = F.concat(head, F.when(query == "", "").otherwise(clean), tail)
-    return F.when(F.rlike(url, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")), whole).otherwise(F.lit(UNPARSEABLE))
+    return F.when(F.rlike(url, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")), redact_text(whole, list(secrets))).otherwise(F.when(url.isNotNull(), F.lit(UNPARSEABLE)))
 
 
 def line_of(text: Column, position: Column) -> Column:

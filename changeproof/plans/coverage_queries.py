@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from changeproof.operators import coverage as V
+from changeproof.operators import coverage as V, seed as S
 from changeproof.plans import derive as D
 from changeproof.plans.register import Register
 
@@ -148,29 +148,67 @@ def gate_status(spark, sf_dir):
     return V.gate_status(compared, V.kill_rate(before, ["grp"]), V.kill_rate(scored, ["grp"]), ["grp"])
 
 
-def _digest_sql(table: str, by: str, columns: str, where: str = "true") -> str:
-    return f"""SELECT {by}, sha256(string_agg(digest, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS n_rows FROM (
-      SELECT {by}, substr(h, 1, 4) AS part, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n
-      FROM (SELECT {by}, sha256(concat_ws('|', {columns})) AS h FROM {table} WHERE {where}) GROUP BY ALL) GROUP BY {by}"""
+def _digest_sql(table: str, by: str, columns: list[str], where: str = "true") -> str:
+    """Each column as its length, a colon and its text (a dash for null); leaves of 4 hexadecimal digits, then four levels of nodes."""
+    text = " || ".join(f"coalesce(length(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in columns)
+    sql = f"""SELECT {by}, substr(h, 1, 4) AS node, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*)::BIGINT AS n FROM (SELECT {by}, sha256({text}) AS h FROM {table} WHERE {where}) GROUP BY ALL"""
+    for size in (3, 2, 1, 0):
+        sql = f"SELECT {by}, left(node, {size}) AS node, sha256(string_agg(node || digest, '' ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM ({sql}) GROUP BY {by}, left(node, {size})"
+    return f"SELECT {by}, digest, n AS n_rows FROM ({sql})"
 
 
-@query(_digest_sql("customer", "c_nationkey", "c_custkey, c_name, c_mktsegment"))
+_COLUMNS = ["c_custkey", "c_name", "c_mktsegment"]
+
+
+@query(_digest_sql("customer", "c_nationkey", _COLUMNS))
 def table_digest(spark, sf_dir):
     """Customers by nation as tenant, the tenant column left out."""
-    return V.table_digest(D.table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment"], ["c_nationkey"])
+    return V.table_digest(D.table(spark, sf_dir, "customer"), _COLUMNS, ["c_nationkey"])
+
+
+OBSERVED = ["c_custkey", "c_name", "CASE WHEN c_custkey % 97 = 0 THEN 'changed' ELSE c_mktsegment END"]
 
 
-_COLUMNS = "c_custkey, c_name, c_mktsegment"
+def _observed(spark, sf_dir):
+    seed = D.table(spark, sf_dir, "customer")
+    return seed, seed.filter("c_custkey % 211 > 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 97 == 0, "changed").otherwise(F.col("c_mktsegment")))
 
 
 @query(
-    f"""WITH s AS ({_digest_sql("customer", "c_nationkey", _COLUMNS)}), o AS ({_digest_sql("customer", "c_nationkey", "c_custkey, c_name, CASE WHEN c_custkey % 97 = 0 THEN 'changed' ELSE c_mktsegment END", "c_custkey % 211 > 0")})
+    f"""WITH s AS ({_digest_sql("customer", "c_nationkey", _COLUMNS)}), o AS ({_digest_sql("customer", "c_nationkey", OBSERVED, "c_custkey % 211 > 0")})
     SELECT c_nationkey, coalesce(s.n_rows, 0) AS seed_rows, coalesce(o.n_rows, 0) AS observed_rows, s.digest IS NOT DISTINCT FROM o.digest AS agree FROM s FULL JOIN o USING (c_nationkey)"""
 )
 def seed_vs_observed(spark, sf_dir):
-    seed = D.table(spark, sf_dir, "customer")
-    observed = seed.filter("c_custkey % 211 > 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 97 == 0, "changed").otherwise(F.col("c_mktsegment")))
-    return V.seed_vs_observed(seed, observed, ["c_custkey", "c_name", "c_mktsegment"], ["c_nationkey"]).select("c_nationkey", "seed_rows", "observed_rows", "agree")
+    seed, observed = _observed(spark, sf_dir)
+    return V.seed_vs_observed(seed, observed, _COLUMNS, ["c_nationkey"]).select("c_nationkey", "seed_rows", "observed_rows", "agree")
+
+
+@query(
+    """SELECT c_nationkey, c_custkey, c_name, c_mktsegment, 1 AS a_rows, 0 AS b_rows FROM customer WHERE c_custkey % 211 = 0 OR c_custkey % 97 = 0
+    UNION ALL SELECT c_nationkey, c_custkey, c_name, 'changed', 0, 1 FROM customer WHERE c_custkey % 97 = 0 AND c_custkey % 211 > 0"""
+)
+def seed_difference_rows(spark, sf_dir):
+    """The rows in which the observed table departs from the seed, found from the roots of both trees down."""
+    seed, observed = _observed(spark, sf_dir)
+    return S.differing_rows(S.keep_tree(seed, _COLUMNS, ["c_nationkey"]), S.keep_tree(observed, _COLUMNS, ["c_nationkey"]))
+
+
+SEEDS_SQL = """x AS (SELECT p_partkey, p_partkey % 50 = 0 AS sql, p_partkey % 70 = 0 AS now, p_partkey % 90 = 0 AS uuid, p_partkey % 110 = 0 AS key FROM part)"""
+
+
+@query(
+    f"""WITH {SEEDS_SQL} SELECT p_partkey, 'tables.0.rows.1.SQL' AS path, 'E_SEED_UNSAFE' AS code FROM x WHERE sql UNION ALL SELECT p_partkey, 'tables.0.rows.0.at', 'E_SEED_NON_DETERMINISTIC' FROM x WHERE now
+    UNION ALL SELECT p_partkey, 'tables.0.deep.a.b.0.1', 'E_SEED_NON_DETERMINISTIC' FROM x WHERE uuid UNION ALL SELECT p_partkey, 'tables.1.$Random', 'E_SEED_NON_DETERMINISTIC' FROM x WHERE key"""
+)
+def seed_problems(spark, sf_dir):
+    """Parts as seeds: orders and markers planted at several depths are told with their paths."""
+    key = F.col("p_partkey")
+    text = lambda when, hit, other: F.when(when, F.lit(hit)).otherwise(F.lit(other))
+    seed = F.concat(
+        F.lit('{"name":"now it is","tables":[{"rows":[{"at":"'), text(key % 70 == 0, " $NOW ", "2024 now"), F.lit('","n":1},{"'), text(key % 50 == 0, "SQL", "sql_"), F.lit('":null}],"deep":{"a":{"b":[["x","'),
+        text(key % 90 == 0, "{{ uuid }}", "{ uuid }"), F.lit('"]]}}},{"'), text(key % 110 == 0, "$Random", "random"), F.lit('":"a raw script"}]}'),
+    )
+    return S.seed_problems(D.table(spark, sf_dir, "part").select("p_partkey", seed.alias("json")), ["p_partkey"], "json")
 
 
 @query(
