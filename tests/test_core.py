@@ -128,7 +128,7 @@ def test_slot_log_lines(spark):
 
 
 def test_redaction(spark):
-    row = spark.createDataFrame([("Bearer abc.def and hunter2hunter2 hunter2hunter2x eyJa.b.c", "http://h/p?token=1&a=2#f", "no url")], "t string, u string, v string")
+    row = spark.createDataFrame([("Bearer abc.def.ghi0123 and hunter2hunter2 hunter2hunter2x eyJaaaaaaaa.bbbbbbbb.cccccccc", "http://h/p?token=1&a=2#f", "no url")], "t string, u string, v string")
     got = row.select(privacy.redact_text(F.col("t"), ["hunter2hunter2", "hunter2hunter2x", "abc"]).alias("t"), privacy.redact_url(F.col("u")).alias("u"), privacy.redact_url(F.col("v")).alias("v")).first()
     assert tuple(got) == ("[REDACTED] and [REDACTED] [REDACTED] [REDACTED]", "http://h/p?token=[REDACTED]&a=2#f", "[UNPARSEABLE_URL]")
 
