@@ -44,6 +44,16 @@ def bounded(df: DataFrame, what: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add (or replace) columns that are worked out once a row, however often later expressions name them.
+
+    They come out of a generator of one row. The optimiser copies a projected expression into every place that names it, filters
+    above all, but takes what a generator made as it is.
+    """
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(made)).alias("__once")).select(*(c for c in df.columns if c not in columns), "__once.*")
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """A join on keys in which null equals null; the keys of the left side stay."""
     other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})

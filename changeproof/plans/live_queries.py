@@ -54,6 +54,54 @@ def stream_quiet_period(spark, sf_dir):
     return told.withColumn("began", F.col("began").cast("timestamp_ntz"))
 
 
+LIMIT_MS = 5 * 86_400_000
+
+
+@query(
+    f"""WITH m AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS e FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, e ORDER BY ts) AS nth, min(ts) OVER (PARTITION BY user_id) AS began FROM m),
+    w AS (SELECT user_id, any_value(began) AS began, count_if(nth = 4 - e) AS met, max(ts) FILTER (WHERE nth = 4 - e) AS last FROM n GROUP BY 1),
+    t AS (SELECT *, (epoch_us(last) // 1000 - epoch_us(began) // 1000) AS took FROM w)
+    SELECT user_id, CASE WHEN met = 3 AND took <= {LIMIT_MS} THEN 'ok' ELSE 'miss' END AS result, CASE WHEN met = 3 AND took <= {LIMIT_MS} THEN took ELSE {LIMIT_MS} END AS took_ms FROM t
+    WHERE (met = 3 AND took <= {LIMIT_MS}) OR epoch_us(began) // 1000 + {LIMIT_MS} <= (SELECT epoch_us(max(ts)) // 1000 - 10000 FROM m) OR EXISTS (SELECT 1 FROM m WHERE m.user_id = t.user_id AND epoch_us(m.ts) // 1000 - epoch_us(began) // 1000 > {LIMIT_MS})"""
+)
+def stream_convergence(spark, sf_dir):
+    """Users' first four clicks, three views and two purchases within five days of the first of them, in five batches."""
+    kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", 2)
+    matches = D.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), kind.alias("exp_idx"), (4 - kind).cast("long").alias("wanted"), F.lit(3).alias("n_expectations"))
+    return drained(S.stream_convergence(arriving(matches.where("exp_idx IS NOT NULL"), "at", 5), ["user_id"], LIMIT_MS))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000 + o_orderkey % 3600 * 1000 AS began FROM orders),
+    mark AS (SELECT max(began + CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 100 * 60000 ELSE 0 END) - 10000 AS ms FROM o)
+    SELECT 'run-' || o_orderkey AS run_id, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 100 <= 60 THEN CASE o_orderkey % 5 WHEN 1 THEN 'interrupted' ELSE 'pass' END ELSE 'stale' END AS status FROM o, mark
+    WHERE (o_orderkey % 5 > 0) OR began + 3600000 <= mark.ms"""
+)
+def stream_run_status(spark, sf_dir):
+    """Orders as runs: begun at a second of their day, four of five ended minutes later, those beyond an hour too late; in six batches."""
+    key = F.col("o_orderkey")
+    began = F.expr("timestampadd(SECOND, cast(o_orderkey % 3600 as int), cast(o_orderdate as timestamp))")
+    ended = F.timestamp_add("MINUTE", (key % 100).cast("int"), began)
+    row = lambda at, status: F.struct(at.alias("at"), status.alias("status"))
+    both = F.array_compact(F.array(row(began, F.lit("in_progress")), F.when(key % 5 > 0, row(ended, F.when(key % 5 == 1, "interrupted").otherwise("pass")))))
+    records = D.table(spark, sf_dir, "orders").select(F.concat(F.lit("run-"), key).alias("run_id"), F.explode(both).alias("x")).select("run_id", "x.*")
+    return drained(S.stream_run_status(arriving(records, "at", 6)))
+
+
+@query(
+    """WITH q AS (SELECT event_id AS id, ts, event_id % 50 AS late FROM events WHERE event_type = 'click'), mark AS (SELECT least(max(ts), (SELECT max(ts + to_seconds(event_id % 50)) FROM events WHERE event_type = 'click' AND event_id % 3 > 0)) - INTERVAL 10 SECOND AS at FROM q)
+    SELECT id, CASE WHEN id % 3 > 0 AND late <= 30 THEN (id % 5 * 100)::INT END AS status, CASE WHEN id % 3 > 0 AND late <= 30 THEN late * 1000 END AS duration_ms FROM q, mark
+    WHERE (id % 3 > 0 AND late <= 30) OR ts + INTERVAL 30 SECOND < mark.at"""
+)
+def stream_pair_requests(spark, sf_dir):
+    """Clicks as requests by their ids; two of three are answered, some of them too late. Both sides come in four batches."""
+    clicks = D.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    replies = clicks.where("id % 3 > 0").select("id", F.timestamp_add("SECOND", (F.col("id") % 50).cast("int"), F.col("at")).alias("at"), (F.col("id") % 5 * 100).cast("int").alias("status"))
+    told = drained(S.stream_pair_requests(arriving(clicks, "at", 4), arriving(replies, "at", 4), "id", "at"))
+    return told.select("id", "status", "duration_ms")
+
+
 PROBES_SQL = r"""p AS (SELECT page_id, url, html, CASE page_id % 11 WHEN 0 THEN 0 WHEN 1 THEN 503 WHEN 2 THEN 404 ELSE 200 END AS status, regexp_extract(html, '<title[^>]*>([^<]*)', 1) AS title,
   CASE WHEN page_id % 11 = 3 THEN 'Sign in' WHEN page_id % 11 = 4 THEN 'Please log in to read on. This is the only thing that a visitor without a name may see of it.' ELSE regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS text,
   page_id % 13 = 0 AS requires_auth, CASE WHEN page_id % 5 = 0 THEN 'script' ELSE 'image' END AS kind, CASE WHEN page_id % 10 = 0 THEN 'a/analytics.js' ELSE 'a/main.js' END AS asset FROM pages)"""

@@ -10,7 +10,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from changeproof.operators.fence import FENCE
 from changeproof.schema import DEAD_RULE_RUNS
@@ -138,66 +139,112 @@ def stream_pair_requests(requests: DataFrame, replies: DataFrame, key: str, at:
     return left.join(right, span, "left_outer").select(F.col(f"q.{key}"), F.col(f"q.{at}"), F.col("r.status"), F.when(F.col(f"r.{at}").isNotNull(), took).alias("duration_ms"))
 
 
-def stream_convergence(matches: DataFrame, by: list[str], limit_ms: int = 10_000, late: str = "10 seconds") -> DataFrame:
-    """matches(by, at, exp_idx, wanted, n_expectations): "ok" once each expectation of a window has its wanted matches, "miss" at the limit.
+def keyed_state(spark: SparkSession) -> None:
+    """Keep the state of streams that start from now on in RocksDB, which maps and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    The limit runs from the window's first match; the answer, given once, carries the milliseconds it took.
-    """
 
-    def answer(key, result, took):
-        return pd.DataFrame([{**_key(key, by), "result": result, "took_ms": took}])
+def _millis(at: pd.Series) -> pd.Series:
+    return at.astype("datetime64[ms]").astype("int64")
 
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            done = state.get[2]
-            state.remove()
-            if not done:
-                yield answer(key, "miss", limit_ms)
-            return
-        counts, began, done = state.get if state.exists else ("{}", None, False)
-        met, rows = json.loads(counts), _all(frames, ["at", "exp_idx"])
-        millis = rows["at"].astype("datetime64[ms]").astype("int64")
-        began = int(millis.iloc[0]) if began is None else began
-        for e, wanted, n, ms in zip(rows["exp_idx"], rows["wanted"], rows["n_expectations"], millis, strict=True):
+
+class _Convergence(StatefulProcessor):
+    """Matches of each expectation in a map; when the window began, how many expectations are met, and whether it is answered; a timer at the limit."""
+
+    def __init__(self, by: list[str], limit_ms: int):
+        self.by, self.limit_ms = by, limit_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "exp_idx int", "n long")
+        self.window = handle.getValueState("window", "began long, met long, done boolean")
+
+    def _answer(self, key, result, took):
+        return pd.DataFrame([{**_key(key, self.by), "result": result, "took_ms": took}])
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = _all(rows, ["at", "exp_idx"])
+        millis = _millis(frame["at"])
+        began, met, done = self.window.get() if self.window.exists() else (int(millis.iloc[0]), 0, False)
+        if not self.window.exists():
+            self.handle.registerTimer(began + self.limit_ms)
+        for e, wanted, n, ms in zip(frame["exp_idx"], frame["wanted"], frame["n_expectations"], millis, strict=True):
             if done:
                 break
-            if ms - began > limit_ms:
+            if ms - began > self.limit_ms:
                 done = True
-                yield answer(key, "miss", limit_ms)
+                yield self._answer(key, "miss", self.limit_ms)
                 break
-            met[str(e)] = met.get(str(e), 0) + 1
-            met["met"] = met.get("met", 0) + int(met[str(e)] == wanted)
-            if met["met"] == n:
+            seen = (self.counts.getValue((int(e),))[0] if self.counts.containsKey((int(e),)) else 0) + 1
+            self.counts.updateValue((int(e),), (seen,))
+            met += int(seen == wanted)
+            if met == n:
                 done = True
-                yield answer(key, "ok", int(ms - began))
-        state.update(("{}" if done else json.dumps(met), began, done))
-        state.setTimeoutTimestamp(max(began + limit_ms, state.getCurrentWatermarkMs() + 1))
+                yield self._answer(key, "ok", int(ms - began))
+        if done:
+            self.counts.clear()
+        self.window.update((began, met, done))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, _, done = self.window.get()
+        # What is answered is kept as answered, so that a late match does not begin the window again.
+        self.counts.clear()
+        self.window.update((*self.window.get()[:2], True))
+        if not done:
+            yield self._answer(key, "miss", self.limit_ms)
+
+    def close(self) -> None:
+        pass
 
+
+def stream_convergence(matches: DataFrame, by: list[str], limit_ms: int = 10_000, late: str = "10 seconds") -> DataFrame:
+    """matches(by, at, exp_idx, wanted, n_expectations): "ok" once each expectation of a window has its wanted matches, "miss" at the limit.
+
+    The limit runs from the window's first match; the answer, given once, carries the milliseconds it took.
+    """
+    keyed_state(matches.sparkSession)
     schema = f"{_typed(matches, by)}, result string, took_ms long"
-    return matches.withWatermark("at", late).groupBy(*by).applyInPandasWithState(step, schema, "counts string, began long, done boolean", "append", "EventTimeTimeout")
+    return matches.withWatermark("at", late).groupBy(*by).transformWithStateInPandas(_Convergence(by, limit_ms), schema, "Append", "EventTime")
 
 
-def stream_run_status(records: DataFrame, stale_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
-    """records(run_id, at, status): the verdict or interruption that replaces a run's in_progress marker, or "stale" if none comes in time."""
+class _RunStatus(StatefulProcessor):
+    """When a run was first heard of and whether its status is told; a timer at the time by which a verdict must come."""
 
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            done = state.get[1]
-            state.remove()
-            if not done:
-                yield pd.DataFrame([{"run_id": key[0], "status": "stale"}])
-            return
-        began, done = state.get if state.exists else (None, False)
-        rows = _all(frames, ["at"])
-        if began is None:
-            began = int(rows["at"].astype("datetime64[ms]").astype("int64").iloc[0])
-        final = rows[rows["status"] != "in_progress"]
-        if len(final) and not done:
+    def __init__(self, stale_ms: int):
+        self.stale_ms = stale_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "began long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = _all(rows, ["at"])
+        millis = _millis(frame["at"])
+        began, done = self.run.get() if self.run.exists() else (int(millis.iloc[0]), False)
+        if not self.run.exists():
+            self.handle.registerTimer(began + self.stale_ms)
+        final = frame["status"] != "in_progress"
+        if not done and (final.any() or (millis - began > self.stale_ms).any()):
+            first = int(millis[final].iloc[0]) if final.any() else None
+            intime = first is not None and first - began <= self.stale_ms
             done = True
-            yield pd.DataFrame([{"run_id": key[0], "status": final["status"].iloc[0]}])
-        state.update((began, done))
-        state.setTimeoutTimestamp(max(began + stale_ms, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame([{"run_id": key[0], "status": frame["status"][final].iloc[0] if intime else "stale"}])
+        self.run.update((began, done))
 
-    return records.withWatermark("at", late).groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, status string", "began long, done boolean", "append", "EventTimeTimeout"
-    )
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        began, done = self.run.get()
+        self.run.update((began, True))
+        if not done:
+            yield pd.DataFrame([{"run_id": key[0], "status": "stale"}])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_run_status(records: DataFrame, stale_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
+    """records(run_id, at, status): the verdict or interruption that replaces a run's in_progress marker, or "stale" if none comes in time.
+
+    Only event times decide, so the answer does not depend on how records fall into batches.
+    """
+    keyed_state(records.sparkSession)
+    return records.withWatermark("at", late).groupBy("run_id").transformWithStateInPandas(_RunStatus(stale_ms), "run_id string, status string", "Append", "EventTime")

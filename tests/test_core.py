@@ -115,6 +115,14 @@ def test_bounded_refuses(spark):
         scale.bounded(spark.range(5), "rules", 4)
 
 
+def test_slot_log_plan_parses_once(spark):
+    split, _ = slot_log.decode_slot_log(spark.createDataFrame([("0/1", "1", "BEGIN 1")], "lsn string, xid string, data string"), {"a.b": ["id"]})
+    for rows in (split.events, split.rejects):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        # One cut of the line into tokens, one of what is left over, three of each token, before and after.
+        assert plan.count("regexp_extract(") <= 6 and plan.count("regexp_extract_all(") <= 1 and plan.count("try_parse_json") <= 20 and len(plan) < 40_000
+
+
 def test_slot_log_lines(spark):
     lines = [
         ("0/1", "7", "BEGIN 7"), ("0/1", "7", "table public.t: INSERT: id[bigint]:1 note[text]:'a: ''b'', c' at[timestamp without time zone]:null"),
