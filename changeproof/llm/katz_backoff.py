@@ -236,7 +236,11 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk: in
             model.tokens, model.kinds = tokens, kinds
             model.mass = tokens - sum(r * seen[r] * (1 - f) for r, f in enumerate(model.factors[1]))
         else:
-            known.append(answers(_by_chunk(texts, known, _ASKED, lambda c, r, n=n: _context_sums(model, c, r, n)), 2 * n + 1))
+            # Written by itself, so that the shuffles of the texts are gone before the sums are shuffled.
+            asked = written(_by_chunk(texts, known, _ASKED, lambda c, r, n=n: _context_sums(model, c, r, n)), rows_a_file=4_096)
+            release(docs.sparkSession)
+            known.append(answers(asked, 2 * n + 1))
+            forget(asked)
     out = written(_by_chunk(texts, known, SCHEMA, lambda c, r: _scored(model, c, r)))
     forget(texts, *known)
     release(docs.sparkSession)
