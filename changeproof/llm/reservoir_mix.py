@@ -62,8 +62,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     size, kinds = F.size("words"), F.size(F.array_distinct("words"))
     weight = F.lit(0.1) + F.when(size == 0, F.lit(0.0)).otherwise(0.9 * kinds / size)
     rows = rows.select("row", "doc_id", "source", "tie", size.cast("long").alias("size"), (-F.log("u") / weight).alias("key"))
-    # The logarithm is monotone, so ranges follow one another.
-    taken = _taken(rows.withColumn("range", F.floor(F.log("key") * STEPS).cast("int")), weights, most)
+    # The logarithm is monotone, so ranges follow one another. Keys are above 0; where a range can be null as far as Spark knows, the join
+    # below would first filter by it, and that works it out, words and all, once more.
+    taken = _taken(rows.withColumn("range", F.coalesce(F.floor(F.log("key") * STEPS).cast("int"), F.lit(0))), weights, most)
     made = ("size", "source_size", "target", "taken")
     return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in made), *made)
 
