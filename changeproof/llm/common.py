@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -49,13 +50,14 @@ def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: float = 2.0) -> None:
     """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's collectors find their plans unused.
 
-    Python's comes first, since its DataFrames hold those of the JVM.
+    Python's comes first, since its DataFrames hold those of the JVM. Spark deletes in the background, so the next job waits a moment.
     """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(wait)
 
 
 def forget(*tables: DataFrame) -> None:
