@@ -53,11 +53,12 @@ def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
 def release(spark: SparkSession, wait: float = 2.0) -> None:
     """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's collectors find their plans unused.
 
-    Python's comes first, since its DataFrames hold those of the JVM. Spark deletes in the background, so the next job waits a moment.
+    Python's comes first, since its DataFrames hold those of the JVM; they are let go, and files are deleted, in the background, so both take a moment.
     """
     gc.collect()
+    time.sleep(wait / 2)
     spark._jvm.System.gc()
-    time.sleep(wait)
+    time.sleep(wait / 2)
 
 
 def forget(*tables: DataFrame) -> None:
