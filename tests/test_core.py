@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from changeproof.errors import Refused
 from changeproof.functions import canonical
-from changeproof.operators import classify as C, coverage, pages, privacy, rules as R, scale, suite
+from changeproof.operators import classify as C, coverage, privacy, rules as R, scale, suite
 from changeproof.plans import derive, registry
 from changeproof.plans.derive import rules_frame
 from changeproof.schema import CHANGE_EVENTS, EXPECTATIONS, WINDOW
@@ -150,14 +150,6 @@ def test_suite_and_coverage(spark):
     assert coverage.table_digest(table, ["k", "v"], []).first() == coverage.table_digest(table.orderBy(F.desc("k")).repartition(3), ["k", "v"], []).first()
 
 
-def test_page_measures(spark):
-    html = '<html lang="en"><head><title>T</title></head><h1>a</h1><h1>b</h1><img src=x><img alt="y"><a href="/p?q#f">x</a><a href="http://o.org/">y</a></html>'
-    rows = spark.createDataFrame([(1, "http://H.org/p", html), (2, "http://h.org", "<p>")], "page_id long, url string, html string")
-    got = {(r.page_id, r.finding) for r in pages.findings(pages.measure(rows)).collect()}
-    assert {(1, "many_h1"), (1, "images_without_alt"), (2, "no_title"), (2, "no_links")} <= got
-    assert [tuple(r) for r in pages.internal_links(rows).collect()] == [("h.org", "/p")]
-
-
 def test_every_query_has_its_sql():
     assert set(registry.queries()) == set(registry.oracle_sql()) and "delta_buckets" in registry.queries()
     assert derive.AS_OF and WINDOW
