@@ -93,3 +93,21 @@ def pair_next(rows: DataFrame, by: str, at: str, row_id: str, request: Column, f
         by, F.col(row_id).alias("request_id"), F.when(answered, F.col("next_id")).alias("response_id"), F.when(answered, F.col("next_at") - F.col(at)).alias("duration_ms"),
         F.when(~answered, "pending").when(F.col("next_failure"), "failed").otherwise("ok").alias("outcome"),
     )
+
+
+def pair_by_id(requests: DataFrame, replies: DataFrame, key: str = "request_id") -> DataFrame:
+    """requests(key, at_ms, ...) to (key, request, reply): each request's other columns, and status, content_type, failure, duration_ms and outcome of what came of it.
+
+    ``replies(key, at_ms, status, content_type, failure)`` are responses, or failed requests where failure is not null. Of several the last counts, of its
+    kind; the duration ends with the last of any kind and is never negative. Replies to no request are left out, a null key is never answered.
+    A request has no answer (pending), failed, or was answered with any status (ok); replies are reduced to one row a key before they meet requests.
+    """
+    failed = F.col("failure").isNotNull()
+    last = lambda value, kind: F.max_by(value, F.when(kind, F.struct("at_ms", value)))
+    came = replies.where(F.col(key).isNotNull()).groupBy(key).agg(
+        last(F.struct("status", "content_type"), ~failed).alias("response"), last(F.col("failure"), failed).alias("failure"), F.max("at_ms").alias("ended_ms")
+    )
+    rows = requests.select(F.col(key), F.struct(*(c for c in requests.columns if c != key)).alias("request"))
+    took = F.when(F.col("ended_ms").isNotNull(), F.greatest(F.col("ended_ms") - F.col("request.at_ms"), F.lit(0).cast("long")))
+    outcome = F.when(F.col("failure").isNotNull(), "failed").when(F.col("ended_ms").isNotNull(), "ok").otherwise("pending")
+    return rows.join(came, key, "left").select(key, "request", F.struct(F.col("response.status"), F.col("response.content_type"), "failure", took.alias("duration_ms"), outcome.alias("outcome")).alias("reply"))

@@ -183,6 +183,28 @@ def pair_requests(spark, sf_dir):
     return pair_next(rows, "user_id", "at_ms", "event_id", F.col("event_type") == "view", F.col("event_type") == "error")
 
 
+@query(
+    """SELECT event_id AS request_id, user_id, CASE WHEN event_id % 5 IN (0, 1) THEN (200 + event_id % 3)::INT WHEN event_id % 5 = 2 THEN 304 END AS status, CASE WHEN event_id % 5 IN (0, 1, 2) THEN event_type END AS content_type,
+      CASE event_id % 5 WHEN 1 THEN 'late' WHEN 3 THEN 'reset' END AS failure, CASE event_id % 5 WHEN 0 THEN greatest(event_id % 100 - 20, 0) WHEN 1 THEN 150 WHEN 2 THEN 90 WHEN 3 THEN 70 END AS duration_ms,
+      CASE WHEN event_id % 5 IN (1, 3) THEN 'failed' WHEN event_id % 5 = 4 THEN 'pending' ELSE 'ok' END AS outcome FROM events"""
+)
+def pair_requests_by_id(spark, sf_dir):
+    """Events as requests by their ids: answered (some before they were asked), answered and then failed, answered twice, failed, or left alone."""
+    from changeproof.operators.suite import pair_by_id
+
+    requests = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "event_type")
+    row = lambda wait, status, failure: F.struct((F.col("at_ms") + wait).alias("at_ms"), status.cast("int").alias("status"), F.lit(failure).cast("string").alias("failure"))
+    key, none = F.col("request_id"), F.lit(None)
+    kind, answer = key % 5, 200 + key % 3
+    came = (
+        F.when(kind == 0, F.array(row(key % 100 - 20, answer, None))).when(kind == 1, F.array(row(150, none, "late"), row(30, answer, None)))
+        .when(kind == 2, F.array(row(90, F.lit(304), None), row(10, F.lit(500), None))).when(kind == 3, F.array(row(70, none, "reset"), row(60, none, "slow")))
+    )
+    replies = requests.select("request_id", F.when(kind < 3, F.col("event_type")).alias("content_type"), F.explode(came.alias("x")).alias("x")).select("request_id", "content_type", "x.*")
+    strays = replies.withColumn("request_id", -F.col("request_id") - 1)
+    return pair_by_id(requests, replies.unionByName(strays)).select("request_id", "request.user_id", "reply.*")
+
+
 @query(
     """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM events)
     SELECT user_id, event_id, rank, greatest(n - 20, 0) AS truncated FROM r WHERE rank <= 20"""

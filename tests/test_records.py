@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeproof.errors import Refused
-from changeproof.operators import coverage, privacy, seed
+from changeproof.operators import coverage, privacy, seed, suite
 from changeproof.sinks import junit, network_log, run_facts
 from changeproof.sinks.store import TableStore
 from changeproof.sources.run_records import read_run_records
@@ -208,3 +208,17 @@ def test_redaction_lists(spark):
     got = row.select(privacy.redact_text(F.col("t"), []).alias("t"), privacy.redact_url(F.col("u")).alias("u"), privacy.redact_url(F.col("v")).alias("v"), privacy.redact_url(F.lit(None).cast("string")).alias("n")).first()
     assert got.t == "a bearer of news [REDACTED] xeyJabcdefgh.abcdefgh.abcdefgh eyJshort.abcdefgh.abcdefgh [REDACTED], bearer abcdefghijk"
     assert got.u == "https://h/p?a=1&SIGNATURE=[REDACTED]&%6Bey=[REDACTED]&id_token=z&apikey=[REDACTED]#f" and got.v == "[UNPARSEABLE_URL]" and got.n is None
+
+
+def test_requests_are_paired_by_id(spark):
+    requests = spark.createDataFrame([(1, 100, "a"), (2, 100, "b"), (3, 100, "c"), (4, 100, "d"), (None, 100, "e"), (5, 100, "f"), (5, 300, "g")], "request_id long, at_ms long, status string")
+    replies = spark.createDataFrame(
+        [(1, 150, 500, "t", None), (1, 170, None, None, None), (1, 160, 200, "u", None), (2, 90, 204, None, None), (3, 110, 200, "t", None), (3, 130, None, None, "reset"), (None, 110, 200, "t", None), (9, 110, 200, "t", None), (5, 200, 201, "v", None)],
+        "request_id long, at_ms long, status int, content_type string, failure string",
+    )
+    got = {(r.request_id, r.request.status): tuple(r.reply) for r in suite.pair_by_id(requests, replies).collect()}
+    assert got == {
+        (1, "a"): (None, None, None, 70, "ok"), (2, "b"): (204, None, None, 0, "ok"), (3, "c"): (200, "t", "reset", 30, "failed"), (4, "d"): (None, None, None, None, "pending"), (None, "e"): (None, None, None, None, "pending"),
+        (5, "f"): (201, "v", None, 100, "ok"), (5, "g"): (201, "v", None, 0, "ok"),
+    }
+    assert suite.pair_by_id(requests.limit(0), replies).count() == 0 and suite.pair_by_id(requests, replies.limit(0)).where("reply.outcome = 'pending'").count() == 7
