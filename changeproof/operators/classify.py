@@ -1,6 +1,7 @@
 """The classification of every change of every window, and what follows from it."""
 
 import datetime
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,6 +24,22 @@ class Delta:
     windows: DataFrame
 
 
+def _typed_rules(rows: DataFrame, events: DataFrame, matched: DataFrame, rules: DataFrame, kinds: set, as_of: datetime.date, width: int) -> DataFrame:
+    """Each row's winner among the typed rules, and the derived rules that are out of budget there."""
+    if ("external_writer", "transaction") in kinds:
+        rows = rule_ops.foreign_transaction(rows, rule_ops.scenario_transactions(events, matched))
+    else:
+        rows = rows.withColumn("own_tx", F.lit(True))
+    if any(kind == "derived" for kind, _ in kinds):
+        rows = rule_ops.rank_targets(rows, rule_ops.derived_budgets(events, rules), width)
+    else:
+        none = F.lit(None)
+        rows = rows.withColumns(
+            {"rank_table": none.cast("long"), "rank_entity": none.cast("long"), "budgets": none.cast("map<int,long>")}
+        )
+    return rule_ops.apply_rules(rows, rules, as_of)
+
+
 def classify(
     events: DataFrame,
     expectations: DataFrame,
@@ -31,12 +48,16 @@ def classify(
     ruleset_id: str | None = None,
     width: int = SLICE_WIDTH,
     windows: DataFrame | None = None,
+    engine: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> Delta:
     """Put every event in exactly one bucket.
 
     `events` carry `ruleset_id`, or all use the one given. Images are read only where events
     meet declarations; what is shuffled afterwards is the narrow row. `windows` (and ruleset_id, if
     events carry it) adds windows that may have no event: declared windows always count.
+
+    `engine` explains events in place of the typed rules: a function from (events, rules) to rows (window, idx, rule_id, kind).
+    What a declaration took stays expected. Counts and caps follow from all its answers, as they do from the rules'; nothing is out of budget.
     """
     rule_ops.refuse_expired(rules, as_of)
     if ruleset_id is not None:
@@ -54,18 +75,10 @@ def classify(
         (r["kind"], r["identity_by"])
         for r in rules.select("kind", "identity_by").distinct().collect()  # closed vocabularies
     }
-    if ("external_writer", "transaction") in kinds:
-        rows = rule_ops.foreign_transaction(rows, rule_ops.scenario_transactions(events, matched))
-    else:
-        rows = rows.withColumn("own_tx", F.lit(True))
-    if any(kind == "derived" for kind, _ in kinds):
-        rows = rule_ops.rank_targets(rows, rule_ops.derived_budgets(events, rules), width)
+    if engine is not None:
+        ruled = rule_ops.engine_rules(rows, engine(events, rules), rules)
     else:
-        none = F.lit(None)
-        rows = rows.withColumns(
-            {"rank_table": none.cast("long"), "rank_entity": none.cast("long"), "budgets": none.cast("map<int,long>")}
-        )
-    ruled = rule_ops.apply_rules(rows, rules, as_of)
+        ruled = _typed_rules(rows, events, matched, rules, kinds, as_of, width)
 
     bucket = (
         F.when(F.col("exp_idx").isNotNull(), "expected")

@@ -142,6 +142,20 @@ def apply_rules(events: DataFrame, rules: DataFrame, as_of: datetime.date) -> Da
     return rows.withColumn("over", F.transform(over, lambda r: r["rule_pos"])).drop("__won", "rules")
 
 
+def engine_rules(events: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add `winner` and an empty `over` from an engine's own answers: found(window, idx, rule_id, kind).
+
+    Of several answers for an event the rule that stands first in the ruleset counts, rules that the ruleset does not hold last,
+    by id. A null kind is the rule's own; an answer without a rule explains nothing.
+    """
+    listed = rules.select("ruleset_id", F.col("id").alias("rule_id"), "rule_pos", F.col("kind").alias("rule_kind"))
+    answers = events.select(*WINDOW, "idx", "ruleset_id").join(found.where("rule_id IS NOT NULL").select(*WINDOW, "idx", "rule_id", F.col("kind").alias("told")), [*WINDOW, "idx"])
+    placed = answers.join(bounded(listed, "rules"), ["ruleset_id", "rule_id"], "left")
+    one = F.struct(F.col("rule_pos").isNull().alias("unlisted"), "rule_pos", F.col("rule_id").alias("id"), F.coalesce("told", "rule_kind").alias("kind"))
+    first = placed.groupBy(*WINDOW, "idx").agg(F.min(one).alias("winner"))
+    return events.join(first, [*WINDOW, "idx"], "left").withColumn("over", F.array().cast("array<int>"))
+
+
 def strip_volatile(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Take volatile paths out of updates; the events themselves are classified like any other.
 

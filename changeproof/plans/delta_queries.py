@@ -1,13 +1,17 @@
 """Snapshot diffs and the classification of their changes."""
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
 from changeproof.operators import classify as C, rules as rule_ops
+from changeproof.operators.scale import ensure_checkpoint_dir
 from changeproof.plans import derive as D
 from changeproof.plans.register import Register
 from changeproof.schema import WINDOW
+from changeproof.sinks.health import HealthStore
+from changeproof.sinks.store import TableStore
 from changeproof.sources.snapshots import duplicate_keys
 
 REGISTER = Register()
@@ -202,6 +206,45 @@ def tenant_scope(spark, sf_dir):
     return rows.filter(scope("c_mktsegment", F.lit("BUILDING"))).groupBy("c_nationkey").agg(F.count("*").alias("inside"))
 
 
+def _by_op(events, rules):
+    """An engine of its own: deletes are the ruleset's first rule's, updates those of a writer that no rule names."""
+    first = rules.agg(F.min_by("id", "rule_pos")).first()[0]
+    told = F.when(F.col("op") == "delete", F.struct(F.lit(first).alias("rule_id"), F.lit("derived").alias("kind"))).when(
+        F.col("op") == "update", F.struct(F.lit("batch_job").alias("rule_id"), F.lit("external_writer").alias("kind"))
+    )
+    return events.select(*WINDOW, "idx", told.alias("x")).where("x IS NOT NULL").select(*WINDOW, "idx", "x.*")
+
+
+@query(
+    CLASSIFIED_SQL
+    + f""" SELECT {W}, count(*) AS total, count_if(c.exp_idx IS NOT NULL) AS expected, count_if(c.exp_idx IS NULL AND ev.op = 'delete') AS explained, count_if(c.exp_idx IS NULL AND ev.op = 'update') AS suppressed_external,
+      count_if(c.exp_idx IS NULL AND ev.op = 'insert') AS unexplained FROM c JOIN ev USING (run_id, scenario_id, idx) GROUP BY ALL"""
+)
+def engine_buckets(spark, sf_dir):
+    """The shop's changes under an engine in place of the typed rules."""
+    events, rules = D.shop_events(spark, sf_dir), D.shop_rules(spark)
+    delta = C.classify(events, D.shop_expectations(spark, sf_dir), rules, AS_OF, "shop", engine=_by_op)
+    return C.bucket_counts(delta.classified, ["run_id", "scenario_id"])
+
+
+@query(
+    """WITH h AS (SELECT 'rule-' || (conv_id // 5 % 40) AS rule_id, role AS rule_hash, conv_id % 5 AS run_idx, count_if(length(text) % 13 = 0) AS fired FROM conversations GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY rule_id, rule_hash ORDER BY run_idx) AS nth FROM h),
+    z AS (SELECT *, nth - coalesce(max(CASE WHEN fired > 0 THEN nth END) OVER (PARTITION BY rule_id, rule_hash ORDER BY run_idx), 0) AS zero_runs FROM n)
+    SELECT rule_id, rule_hash, max(run_idx) AS run_idx, arg_max(zero_runs, run_idx) AS zero_runs, arg_max(zero_runs, run_idx) >= 3 AS dead FROM z GROUP BY ALL"""
+)
+def recorded_rule_health(spark, sf_dir):
+    """Conversations as five runs, recorded one after the other, and what their rules are after the last."""
+    ensure_checkpoint_dir(spark)
+    store = HealthStore(TableStore(spark, f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/health-{uuid.uuid4().hex}"))
+    rows = D.table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("rule-"), F.expr("conv_id div 5 % 40")).alias("rule_id"), F.col("role").alias("rule_hash"), (F.col("conv_id") % 5).alias("run"), F.length("text").alias("size")
+    )
+    for run in range(5):
+        store.record(f"run-{run}", run, rows.where(F.col("run") == run).groupBy("rule_id", "rule_hash").agg(F.count_if(F.col("size") % 13 == 0).alias("suppressed"), F.lit(None).cast("long").alias("over_budget")))
+    return store.health(3).drop("proposed_action")
+
+
 @query(
     """WITH h AS (SELECT 'rule-' || (conv_id % 40) AS rule_id, role AS rule_hash, conv_id * 1000 + turn AS run_idx, (length(text) % 5 = 0)::INT AS fired FROM conversations),
     n AS (SELECT *, row_number() OVER (PARTITION BY rule_id, rule_hash ORDER BY run_idx) AS nth FROM h),

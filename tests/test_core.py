@@ -39,6 +39,27 @@ def test_derived_rule_explains_as_many_as_its_sources(spark, deletes, audits, ex
     assert (got.expected, got.explained, got.unexplained) == (deletes, explained, audits - explained)
 
 
+def test_an_engine_explains_in_place_of_the_rules(spark):
+    rows = [event(0, "app.orders", "delete")] + [event(i, "app.audit", "insert") for i in (1, 2, 3, 4)]
+    second = (1, "other", "derived", "audit", 1, None, "orders", "delete", 1, None, None, None, None)
+    e, x, r = frames(spark, rows, [("w", 0, "app.orders", "delete", 1, None, None)], [DERIVED, second])
+    seen = []
+
+    def engine(events, rules):
+        seen.append((events.count(), rules.count()))
+        told = [(0, "audit", None), (1, "other", None), (1, "audit", None), (1, "zzz", None), (2, "someone", "external_writer"), (3, None, "derived"), (99, "audit", None)]
+        window = events.select("run_id", "scenario_id", "surface", "window_seq").distinct()
+        return window.join(spark.createDataFrame(told, "idx long, rule_id string, kind string"))
+
+    delta = C.classify(e, x, r, AS_OF, "s", engine=engine)
+    assert {(c.idx, c.bucket, c.rule_id, c.rule_kind) for c in delta.classified.collect()} == {
+        (0, "expected", None, None), (1, "explained", "audit", "derived"), (2, "suppressed_external", "someone", "external_writer"), (3, "unexplained", None, None), (4, "unexplained", None, None),
+    }
+    assert seen == [(5, 2)] and {(s.id, s.suppressed, s.over_budget) for s in delta.rule_stats.collect()} == {("audit", 2, 0), ("other", 0, 0)}
+    silent = C.classify(e, x, r, AS_OF, "s", engine=lambda events, rules: engine(events, rules).limit(0))
+    assert C.bucket_counts(silent.classified).first().unexplained == 4
+
+
 def test_declared_windows_without_events_get_a_verdict(spark):
     e, x, r = frames(spark, [event(1, "app.orders", "delete")], [("w", 0, "orders", "delete", 1, None, None), ("silent", 0, "orders", "insert", 2, None, None)], [DERIVED])
     delta = C.classify(e, x, r, AS_OF, "s")

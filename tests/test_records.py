@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from changeproof.errors import Refused
 from changeproof.operators import coverage, privacy, seed, suite
 from changeproof.sinks import junit, network_log, run_facts
+from changeproof.sinks.health import HealthStore
 from changeproof.sinks.store import TableStore
 from changeproof.sources.run_records import read_run_records
 
@@ -222,3 +223,20 @@ def test_requests_are_paired_by_id(spark):
         (5, "f"): (201, "v", None, 100, "ok"), (5, "g"): (201, "v", None, 0, "ok"),
     }
     assert suite.pair_by_id(requests.limit(0), replies).count() == 0 and suite.pair_by_id(requests, replies.limit(0)).where("reply.outcome = 'pending'").count() == 7
+
+
+def test_rule_health_is_recorded_once_a_run(spark, tmp_path):
+    health = HealthStore(TableStore(spark, str(tmp_path / "h")))
+    assert health.history().count() == 0 and health.health().count() == 0
+    counts = lambda *rows: spark.createDataFrame(rows, "rule_id string, rule_hash string, suppressed int, over_budget long")
+    assert health.record("a", 0, counts(("x", "1", 3, None), ("y", "1", None, None)))
+    assert health.record("b", 1, counts(("x", "1", 0, 0), ("y", "1", 0, 1)))
+    # A run that is recorded again changes nothing, nor does one that cannot be.
+    assert not health.record("b", 1, counts(("x", "1", 9, 9)))
+    for bad in ([("x", "1", 1, 1), ("x", "1", 2, 2)], [(None, "1", 1, 1)]):
+        with pytest.raises(Refused) as e:
+            health.record("bad", 2, counts(*bad))
+        assert e.value.code == "E_RULE_COUNTS"
+    assert health.record("c", 2, counts(("x", "1", 0, 0), ("x", "2", 0, 0)))
+    got = {(r.rule_id, r.rule_hash): (r.run_idx, r.zero_runs, r.dead, r.proposed_action) for r in health.health(2).collect()}
+    assert got == {("x", "1"): (2, 2, True, "delete_rule"), ("x", "2"): (2, 1, False, None), ("y", "1"): (1, 0, False, None)}
