@@ -1,6 +1,6 @@
 """Requirement coverage, gates, mutants, seeds, digests and tenants."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from changeproof.operators.seed import hash_nodes, row_hash
 
@@ -126,12 +126,49 @@ def ruleset_hash(rules: DataFrame, by: list[str]) -> DataFrame:
 
 
 def read_specs(files: DataFrame) -> DataFrame:
-    """files(file, text) to stated requirements (file, line, requirement, statement): lines `ID: statement` outside fences."""
+    """files(file, text) to stated requirements (file, line, requirement, statement): lines `ID: statement`, those in fences too."""
     lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("at", "content"))
     found = lines.withColumns({"requirement": F.regexp_extract("content", r"^\s*[-*]?\s*([A-Z][A-Z0-9]*-[0-9]+):\s*(.+)$", 1), "statement": F.regexp_extract("content", r"^\s*[-*]?\s*([A-Z][A-Z0-9]*-[0-9]+):\s*(.+)$", 2)})
     return found.filter("requirement <> ''").select("file", (F.col("at") + 1).alias("line"), "requirement", "statement")
 
 
+def spec_problems(files: DataFrame, stated: DataFrame, tag: str) -> DataFrame:
+    """(file, line, problem): requirements that a file states again, and blocks that nothing ends."""
+    first = F.min("line").over(Window.partitionBy("file", "requirement"))
+    again = stated.select("file", "line", first.alias("first")).where("line > first").select("file", "line", F.lit("duplicate_requirement").alias("problem"))
+    still = spec_blocks(files, tag).where("end_line IS NULL").select("file", F.col("line"), F.lit("unterminated_block").alias("problem"))
+    return again.unionByName(still)
+
+
+def spec_blocks(files: DataFrame, tag: str) -> DataFrame:
+    """files(file, text) to fenced blocks of a tag (file, line, end_line, requirements, body); end_line is null where no fence ends the block.
+
+    Inside a block any fence ends it, outside only the tag's begin one. Lines `# requirement: ID, ID` name the block's
+    requirements and are no part of its body. A file is one row; null text has no blocks.
+    """
+    id_ = r"[A-Z][A-Z0-9]*-[0-9]+"
+    directive = rf"^\s*#\s*requirement:\s*({id_}(?:\s*,\s*{id_})*)\s*$"
+    lines = F.split("text", "\r?\n")
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), F.regexp_extract(x, r"^\s*```(\w*)\s*$", 1).alias("tag"), F.rlike(x, F.lit(r"^\s*```\w*\s*$")).alias("fence")))
+    rows = files.select("file", lines.alias("lines"), F.filter(numbered, lambda f: f["fence"]).alias("fences"))
+    pair = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    empty = F.struct(F.lit(0).alias("open"), F.array().cast("array<struct<start:int,end:int>>").alias("pairs"))
+
+    def step(acc, f):
+        ends, begins = acc["open"] > 0, f["tag"] == tag
+        pairs = F.when(ends, F.concat(acc["pairs"], F.array(pair(acc["open"], f["at"])))).otherwise(acc["pairs"])
+        return F.struct(F.when(~ends & begins, f["at"]).otherwise(F.lit(0)).alias("open"), pairs.alias("pairs"))
+
+    last = lambda acc: F.concat(acc["pairs"], F.filter(F.array(pair(acc["open"], F.lit(None))), lambda x: x["start"] > 0))
+    blocks = rows.select("file", "lines", F.explode(F.aggregate("fences", empty, step, last)).alias("b"))
+    inside = F.slice("lines", F.col("b.start") + 1, F.coalesce(F.col("b.end") - 1, F.size("lines")) - F.col("b.start"))
+    named = F.filter(F.transform(inside, lambda x: F.regexp_extract(x, directive, 1)), lambda x: x != "")
+    body = F.array_join(F.filter(inside, lambda x: ~F.rlike(x, F.lit(directive))), "\n")
+    return blocks.select(
+        "file", F.col("b.start").alias("line"), F.col("b.end").alias("end_line"), F.flatten(F.transform(named, lambda x: F.split(x, r"\s*,\s*"))).alias("requirements"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body")
+    )
+
+
 def dangling_links(links: DataFrame, stated: DataFrame) -> DataFrame:
     """links(file, requirement) that the same file never states."""
     return links.join(stated.select("file", "requirement").distinct(), ["file", "requirement"], "left_anti")

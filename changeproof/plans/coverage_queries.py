@@ -249,6 +249,18 @@ def spec_requirements(spark, sf_dir):
     return specs.select("file", "line", "requirement", F.trim("statement").alias("statement"))
 
 
+@query(
+    """SELECT doc_id AS file, 3 AS line, CASE WHEN doc_id % 3 > 0 THEN (length(text) - length(replace(text, chr(10), '')) + 7)::INT END AS end_line, 'REQ-' || (doc_id % 7) || ',REQ-9' AS requirements,
+      sha256(regexp_replace(text || chr(10) || 'end', '^\\s+|\\s+$', '', 'g')) AS body_sha256 FROM documents"""
+)
+def spec_blocks(spark, sf_dir):
+    """Every document as the body of a block, after a fence that begins none; a third of the blocks have no end."""
+    docs = D.table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("```\ntitle\n```scenario\n # requirement: REQ-"), F.col("doc_id") % 7, F.lit(" , REQ-9\n"), "text", F.lit("\nend"), F.when(F.col("doc_id") % 3 > 0, "\n```\nafter").otherwise(""))
+    blocks = V.spec_blocks(docs.select(F.col("doc_id").alias("file"), text.alias("text")), "scenario")
+    return blocks.select("file", "line", "end_line", F.array_join("requirements", ",").alias("requirements"), F.sha2("body", 256).alias("body_sha256"))
+
+
 @query("SELECT doc_id AS file, 'REQ-' || (doc_id % 7) AS requirement FROM documents WHERE doc_id % 7 <> doc_id % 4")
 def dangling_links(spark, sf_dir):
     """Claims of a requirement that the same document does not state."""

@@ -171,6 +171,15 @@ def test_suite_and_coverage(spark):
     assert coverage.table_digest(table, ["k", "v"], []).first() == coverage.table_digest(table.orderBy(F.desc("k")).repartition(3), ["k", "v"], []).first()
 
 
+def test_blocks_and_problems_of_specs(spark):
+    text = "A-1: x\n```other\nA-1: again\n```s\n# requirement: A-1, B-2\n do\n# note\n```s\n```s\n```\n```s\nopen"
+    files = spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file string, text string")
+    got = [tuple(r) for r in coverage.spec_blocks(files, "s").orderBy("line").collect()]
+    assert got == [("f", 4, 8, ["A-1", "B-2"], "do\n# note"), ("f", 9, 10, [], ""), ("f", 11, None, [], "open")]
+    problems = coverage.spec_problems(files, coverage.read_specs(files), "s")
+    assert {tuple(r) for r in problems.collect()} == {("f", 3, "duplicate_requirement"), ("f", 11, "unterminated_block")}
+
+
 def test_every_query_has_its_sql():
     assert set(registry.queries()) == set(registry.oracle_sql()) and "delta_buckets" in registry.queries()
     assert derive.AS_OF and WINDOW
