@@ -27,6 +27,34 @@ def redact_columns(df: DataFrame, policy: dict[str, str]) -> DataFrame:
     return df.withColumns({c: redact_value(F.col(c), mode) for c, mode in policy.items() if c in df.columns})
 
 
+def redact_entity(rows: DataFrame, entity: str, sensitive: list[str], mode: str = "hash", secrets: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one entity (schema.table) under a policy of entries `schema.table.col` and `*.col`.
+
+    Sensitive columns become text: the mark, or sha256: and 12 digits of the value as JSON, null too; what is redacted stays. Other
+    columns of text lose tokens and secrets, the rest are as they were. Entries of another form, unknown modes and bare entities are refused.
+    """
+    if mode not in ("hash", "mask"):
+        raise ValueError(f"unknown mode: {mode}")
+    for entry in sensitive:
+        parts = entry.split(".")
+        if not all(parts) or "*" in parts[-1] or len(parts) != (2 if parts[0] == "*" else 3):
+            raise ValueError(f"not schema.table.col or *.col: {entry}")
+    if "." not in entity:
+        raise ValueError(f"not schema.table: {entity}")
+
+    def one(name: str) -> Column:
+        value = rows[f"`{name}`"]
+        if f"*.{name}" in sensitive or f"{entity}.{name}" in sensitive:
+            if mode == "mask":
+                return F.coalesce(F.when(F.rlike(value.cast("string"), F.lit(r"^sha256:[0-9a-f]{12}$")), value.cast("string")), F.lit(REDACTED)).alias(name)
+            json = F.to_json(F.array(value))
+            hashed = F.concat(F.lit("sha256:"), F.substring(F.sha2(json.substr(F.lit(2), F.length(json) - 2), 256), 1, 12))
+            return F.coalesce(F.when(redact_value(value, "hash") == value.cast("string"), value.cast("string")), hashed).alias(name)
+        return redact_text(value, list(secrets)).alias(name) if rows.schema[name].dataType.simpleString() == "string" else value.alias(name)
+
+    return rows.select(*(one(c) for c in rows.columns))
+
+
 def redact_text(text: Column, secrets: list[str]) -> Column:
     """Registered secrets of 8 characters or more, longest first, then JSON web tokens, then bearer tokens."""
     out = text

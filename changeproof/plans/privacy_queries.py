@@ -20,6 +20,16 @@ def redact_columns(spark, sf_dir):
     return P.redact_columns(once, {"c_name": "hash", "c_mktsegment": "mask"}).select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query(
+    """SELECT c_custkey, 'sha256:' || substr(sha256('"' || c_name || '"'), 1, 12) AS c_name, 'sha256:' || substr(sha256(c_nationkey::VARCHAR), 1, 12) AS c_nationkey, replace(c_mktsegment, 'MACHINERY', '[REDACTED]') AS c_mktsegment FROM customer"""
+)
+def redact_entity(spark, sf_dir):
+    """Customers under entries for this table, for any and for another, twice over."""
+    rows = D.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    policy = ["shop.customer.c_name", "*.c_nationkey", "shop.orders.c_custkey"]
+    return P.redact_entity(P.redact_entity(rows, "shop.customer", policy, "hash", ("MACHINERY",)), "shop.customer", policy)
+
+
 def _text_sql(text: str) -> str:
     """Registered secrets, longest first; then three runs of 8 or more with dots between, the first after eyJ; then Bearer and 12 or more."""
     for secret in ("Licensed under the Apache License", "Licensed under"):

@@ -1,5 +1,6 @@
 """Sinks and readers of run records, hash trees, seeds and nested redaction."""
 
+import hashlib
 import json
 from xml.etree import ElementTree
 
@@ -240,3 +241,18 @@ def test_rule_health_is_recorded_once_a_run(spark, tmp_path):
     assert health.record("c", 2, counts(("x", "1", 0, 0), ("x", "2", 0, 0)))
     got = {(r.rule_id, r.rule_hash): (r.run_idx, r.zero_runs, r.dead, r.proposed_action) for r in health.health(2).collect()}
     assert got == {("x", "1"): (2, 2, True, "delete_rule"), ("x", "2"): (2, 1, False, None), ("y", "1"): (1, 0, False, None)}
+
+
+def test_rows_are_redacted_by_qualified_columns(spark):
+    rows = spark.createDataFrame([("a\"b", 7, None, "hunter2hunter2"), ("[REDACTED]", None, "sha256:0123456789ab", None)], "x string, n int, `y` string, free string")
+    policy = ["s.t.x", "*.n", "*.y", "s.other.free"]
+    hashed = privacy.redact_entity(rows, "s.t", policy, "hash", ("hunter2hunter2",))
+    digest = lambda text: "sha256:" + hashlib.sha256(text.encode()).hexdigest()[:12]
+    assert [tuple(r) for r in hashed.collect()] == [(digest('"a\\"b"'), digest("7"), digest("null"), "[REDACTED]"), ("[REDACTED]", digest("null"), "sha256:0123456789ab", None)]
+    assert privacy.redact_entity(hashed, "s.t", policy).collect() == hashed.collect()
+    assert [tuple(r) for r in privacy.redact_entity(rows, "s.t", policy, "mask").collect()] == [("[REDACTED]",) * 3 + ("hunter2hunter2",), ("[REDACTED]", "[REDACTED]", "sha256:0123456789ab", None)]
+    for bad in (["x"], ["s.*"], ["t.x"], ["s..x"], ["*.t.x"]):
+        with pytest.raises(ValueError):
+            privacy.redact_entity(rows, "s.t", bad)
+    with pytest.raises(ValueError):
+        privacy.redact_entity(rows, "t", policy)
