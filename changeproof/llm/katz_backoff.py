@@ -7,8 +7,9 @@ probability of all words not seen there, so each distribution sums to one over t
 
 Texts are numbered into chunks of about CHUNK tokens, a row each: the distinct words and the tokens as numbers of them. A table of an
 order holds the count of each n-gram. A chunk never sends an n-gram twice: it asks for its distinct n-grams (64-bit keys) with
-its own training counts, keys are dealt to buckets whose number grows with the input, and each bucket adds up and answers in the order
-of the asking, so that answers need no keys. Hence no n-gram, however frequent, weighs more than once a chunk. Each
+its own training counts, keys are dealt to buckets (ranges of keys) whose number grows with the input, and each bucket adds up and answers in the order
+of the asking, so that answers need no keys. Keys travel in rising order as differences, counts in as few bytes as they need, and the shuffle files of a
+job go when it ends. Hence no n-gram, however frequent, weighs more than once a chunk. Each
 n-gram of the training texts is marked at one chunk, its first, which adds its discounted mass to the sums of its context; those
 sums meet in the same way and give the weights. A token's probability is then worked out from the shortest context up.
 """
@@ -16,6 +17,7 @@ sums meet in the same way and give the weights. A token's probability is then wo
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,19 +25,42 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changeproof.llm.common import forget, mixed, release, small_batches, written
+from changeproof.llm.common import forget, mixed, small_batches, swept, written
 
 ORDER = 2
 #: Counts up to this one are discounted.
 FEW = 5
 #: Tokens of a chunk (a longer text is a chunk of its own) and keys of a bucket.
 CHUNK, BUCKET = 1_000_000, 500_000
-_TEXTS = "chunk long, doc array<long>, sizes array<int>, train array<boolean>, words array<long>, token array<int>"
-_ASKED = "chunk long, bucket long, keys array<long>, sums array<double>"
-_ANSWER = "chunk long, kind int, bucket long, sums array<double>, first array<boolean>"
+_TEXTS = "chunk long, doc array<long>, sizes array<int>, train array<boolean>, words binary, token binary, n_words long, n_tokens long"
+_ASKED = "chunk long, bucket long, keys binary, sums binary"
+_ANSWER = "chunk long, kind int, bucket long, sums binary, first binary"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up: a byte that says how many bytes the largest needs, then all their lowest bytes, all their second ones and so on."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, or doubles, by their bits, deflated."""
+    squeeze = zlib.compressobj(strategy=zlib.Z_RLE)
+    return squeeze.compress(_planes(x.view(np.uint64) if x.dtype == np.float64 else x)) + squeeze.flush()
+
+
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return _from_planes(zlib.decompress(data)).view(kind)
+
+
 class _Numbers(dict):
     """A number for each word, in the order in which they come."""
 
@@ -49,9 +74,10 @@ def _numbered(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFr
     words, tokens, docs = _Numbers(), [], []
 
     def row() -> pd.DataFrame:
-        keys = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in words], np.int64)
+        keys = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words)
         doc, train = [d for d, _ in docs], [t for _, t in docs]
-        return pd.DataFrame({"chunk": [part + made], "doc": [doc], "sizes": [np.array([len(t) for t in tokens], np.int32)], "train": [train], "words": [keys], "token": [np.concatenate(tokens)]})
+        sizes = np.array([len(t) for t in tokens], np.int32)
+        return pd.DataFrame({"chunk": [part + made], "doc": [doc], "sizes": [sizes], "train": [train], "words": [keys], "token": [_packed(np.concatenate(tokens))], "n_words": [len(words)], "n_tokens": [int(sizes.sum())]})
 
     size = 0
     for batch in batches:
@@ -74,7 +100,7 @@ class Chunk:
 
     def __init__(self, row):
         self.doc, self.sizes, self.train = list(row.doc), np.asarray(row.sizes), np.asarray(row.train, bool)
-        self.token, self.words = np.asarray(row.token, np.int64), np.asarray(row.words, np.int64).view(np.uint64)
+        self.token, self.words = _unpacked(row.token), np.frombuffer(row.words, "<u8")
         begins = np.cumsum(self.sizes) - self.sizes
         self.begins, self.at = begins, np.arange(len(self.token)) - np.repeat(begins, self.sizes)
         self.counted = np.repeat(self.train, self.sizes).astype(np.float64)
@@ -105,18 +131,30 @@ def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
     return first
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys by bucket, where each bucket that occurs starts in it, and its end)."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    return order, np.append(starts, len(keys))
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the keys, which is also that of the buckets, what each is above the one before it in its bucket or the bucket's start, where each bucket that occurs starts, and the end)."""
+    order = np.argsort(keys)
+    rising, step = keys[order], np.uint64((1 << 63) // buckets + 1)
+    bucket = (rising >> np.uint64(1)) // step
+    starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    above = np.diff(rising, prepend=np.uint64(0))
+    above[starts] = rising[starts] - (step * bucket[starts] << np.uint64(1))
+    return order, above, np.append(starts, len(keys))
+
+
+def _bucket(key: np.uint64, buckets: int) -> int:
+    return (int(key) >> 1) // ((1 << 63) // buckets + 1)
 
 
 def _asking(chunk: int, keys: np.ndarray, sums: np.ndarray, buckets: int) -> pd.DataFrame:
-    order, starts = _dealt(keys, buckets)
-    parts = [order[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-    return pd.DataFrame({"chunk": chunk, "bucket": [int(keys[p[0]] % np.uint64(buckets)) for p in parts], "keys": [keys[p].view(np.int64) for p in parts], "sums": [sums[p].ravel() for p in parts]})
+    order, above, starts = _dealt(keys, buckets)
+    cuts = list(zip(starts, starts[1:], strict=False))
+    return pd.DataFrame({"chunk": chunk, "bucket": [_bucket(keys[order[a]], buckets) for a, _ in cuts], "keys": [_planes(above[a:b]) for a, b in cuts], "sums": [_packed(sums[order[a:b]].ravel()) for a, b in cuts]})
+
+
+def _number(kind: int) -> type:
+    """Counts are whole, sums of contexts are not."""
+    return np.float64 if kind % 2 else np.int64
 
 
 def answers(asked: DataFrame, kind: int) -> DataFrame:
@@ -124,32 +162,39 @@ def answers(asked: DataFrame, kind: int) -> DataFrame:
 
     sums has as many numbers a key as were asked, key after key. First is the smallest chunk whose first number is above 0.
     """
+    number = _number(kind)
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk", ignore_index=True)
-        sizes = rows["keys"].map(len).to_numpy()
-        keys, sums = np.concatenate(rows["keys"].to_list()), np.concatenate(rows["sums"].to_list()).reshape(sizes.sum(), -1)
-        codes, distinct = pd.factorize(keys)
-        total = np.stack([np.bincount(codes, weights=s, minlength=len(distinct)) for s in sums.T], axis=1)[codes]
-        first = np.zeros(len(keys), bool)
+        asked_for = [np.cumsum(_from_planes(k)) for k in rows["keys"]]
+        sizes = [len(k) for k in asked_for]
+        sums = np.concatenate([_unpacked(x, number) for x in rows["sums"]]).reshape(sum(sizes), -1)
+        codes, distinct = pd.factorize(np.concatenate(asked_for))
+        total = np.stack([np.bincount(codes, weights=s, minlength=len(distinct)) for s in sums.T], axis=1).astype(number)[codes]
+        first = np.zeros(len(codes), bool)
         holds = np.flatnonzero(sums[:, 0] > 0)
         first[holds[~pd.Series(codes[holds]).duplicated().to_numpy()]] = True
         cuts = np.cumsum(sizes)[:-1]
-        return pd.DataFrame({"chunk": rows["chunk"], "kind": np.int32(kind), "bucket": rows["bucket"], "sums": [t.ravel() for t in np.split(total, cuts)], "first": np.split(first, cuts)})
+        return pd.DataFrame({"chunk": rows["chunk"], "kind": np.int32(kind), "bucket": rows["bucket"], "sums": [_packed(t.ravel()) for t in np.split(total, cuts)], "first": [np.packbits(f).tobytes() for f in np.split(first, cuts)]})
+
+    return written(asked.groupBy("bucket").applyInPandas(added, _ANSWER), rows_a_file=4_096)
+
 
-    found = written(asked.groupBy("bucket").applyInPandas(added, _ANSWER), rows_a_file=4_096)
-    release(found.sparkSession)
-    return found
+def _sums_first(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """All sums of the rows, key after key, and which keys are first (not read for sums of contexts)."""
+    number = _number(kind)
+    sums = [_unpacked(x, number) for x in rows["sums"]]
+    first = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(s)).astype(bool) for s, f in zip(sums, rows["first"], strict=True)] if number is np.int64 else []
+    return np.concatenate([np.empty(0, number), *sums]), np.concatenate([np.empty(0, bool), *first])
 
 
 def _answered(rows: pd.DataFrame, kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(sums, first) of the keys in their own order."""
-    own = rows[rows["kind"] == kind].sort_values("bucket")
-    order, _ = _dealt(keys, buckets)
-    flat = np.concatenate(own["sums"].to_list()) if len(own) else np.empty(0)
-    sums, first = np.empty((len(keys), len(flat) // max(len(keys), 1))), np.empty(len(keys), bool)
+    flat, marked = _sums_first(rows[rows["kind"] == kind].sort_values("bucket"), kind)
+    order = _dealt(keys, buckets)[0]
+    sums, first = np.empty((len(keys), len(flat) // max(len(keys), 1))), np.zeros(len(keys), bool)
     sums[order] = flat.reshape(len(keys), -1)
-    first[order] = np.concatenate([np.asarray(f, bool) for f in own["first"]]) if len(own) else np.empty(0, bool)
+    first[order[: len(marked)]] = marked
     return sums, first
 
 
@@ -225,21 +270,21 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk: in
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("utf8"), (~F.coalesce(held_out, F.lit(True))).alias("train"))
     texts = written(rows.mapInPandas(lambda batches: _numbered(batches, chunk), _TEXTS), rows_a_file=8)
-    sizes = texts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.coalesce(F.sum(F.size("token")), F.lit(0)).alias("tokens")).first()
+    sizes = texts.agg(*(F.coalesce(F.sum(f"n_{x}"), F.lit(0)).alias(x) for x in ("words", "tokens"))).first()
     model, known = Model(order), []
-    for n in range(1, order + 1):
-        model.buckets[2 * n] = model.buckets[2 * n + 3] = 1 + (sizes.words if n == 1 else sizes.tokens) // bucket
-        known.append(answers(_asked_counts(texts, model, n), 2 * n))
-        *seen, kinds, tokens = _counts_of_counts(known[-1])
-        model.factors[n] = discounts(seen)
-        if n == 1:
-            model.tokens, model.kinds = tokens, kinds
-            model.mass = tokens - sum(r * seen[r] * (1 - f) for r, f in enumerate(model.factors[1]))
-        else:
-            known.append(answers(_by_chunk(texts, known, _ASKED, lambda c, r, n=n: _context_sums(model, c, r, n)), 2 * n + 1))
-    out = written(_by_chunk(texts, known, SCHEMA, lambda c, r: _scored(model, c, r)))
+    with swept(docs.sparkSession):
+        for n in range(1, order + 1):
+            model.buckets[2 * n] = model.buckets[2 * n + 3] = 1 + (sizes.words if n == 1 else sizes.tokens) // bucket
+            known.append(answers(_asked_counts(texts, model, n), 2 * n))
+            *seen, kinds, tokens = _counts_of_counts(known[-1], 2 * n)
+            model.factors[n] = discounts(seen)
+            if n == 1:
+                model.tokens, model.kinds = tokens, kinds
+                model.mass = tokens - sum(r * seen[r] * (1 - f) for r, f in enumerate(model.factors[1]))
+            else:
+                known.append(answers(_by_chunk(texts, known, _ASKED, lambda c, r, n=n: _context_sums(model, c, r, n)), 2 * n + 1))
+        out = written(_by_chunk(texts, known, SCHEMA, lambda c, r: _scored(model, c, r)))
     forget(texts, *known)
-    release(docs.sparkSession)
     return out
 
 
@@ -252,20 +297,20 @@ def _asked_counts(texts: DataFrame, model: Model, n: int) -> DataFrame:
                 c = Chunk(row)
                 number, keys, _, _ = c.of(n)
                 here = number >= 0
-                yield _asking(row.chunk, keys, np.bincount(number[here], weights=c.counted[here], minlength=len(keys)), buckets)
+                yield _asking(row.chunk, keys, np.bincount(number[here], weights=c.counted[here], minlength=len(keys)).astype(np.int64), buckets)
 
     return texts.mapInPandas(asking, _ASKED)
 
 
-def _counts_of_counts(known: DataFrame) -> list[int]:
+def _counts_of_counts(known: DataFrame, kind: int) -> list[int]:
     """How many n-grams occur 0 (not counted), 1, ... FEW + 1 times, then how many there are and how often altogether."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(FEW + 4, np.int64)
         for batch in batches:
-            for sums, first in zip(batch["sums"], batch["first"], strict=True):
-                own = np.asarray(sums)[np.asarray(first, bool)].astype(np.int64)
-                seen += np.append(np.bincount(own[own < FEW + 2], minlength=FEW + 2), (len(own), own.sum()))
+            sums, first = _sums_first(batch, kind)
+            own = sums[first]
+            seen += np.append(np.bincount(own[own < FEW + 2], minlength=FEW + 2), (len(own), own.sum()))
         yield pd.DataFrame({"place": np.arange(len(seen), dtype=np.int32), "n": seen})
 
     rows = known.select("sums", "first").mapInPandas(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()

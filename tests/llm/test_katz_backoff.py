@@ -1,14 +1,19 @@
 """Katz backoff against plain dictionaries, over several orders and chunk sizes, on rows with nulls, repeats and long texts."""
 
 import math
+import os
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from changeproof.llm import katz_backoff as kb
+from changeproof.llm.common import swept, written
 from changeproof.llm.queries import fold
 
 SCHEMA = "doc_id long, text string, score string, chunk string, train string, utf8 string, sizes string, token string"
@@ -127,3 +132,42 @@ def test_no_training_and_no_rows(spark, rows):
     assert kb.katz_scores(docs.limit(0), fold(5, 1)).count() == 0
     got = kb.katz_scores(docs.where("doc_id IS NULL"), fold(5, 1)).collect()
     assert {(r.train_tokens, r.n_known, r.base_score, r.score) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 255], [256, 1], [2**40, 3, 0], [2**62, 2**53 + 1]])
+def test_numbers_travel_unchanged(values):
+    whole, real = np.array(values, np.int64), np.array([x / 3 for x in values] + [-0.0, 1e-300, -2.5])
+    assert kb._unpacked(kb._packed(whole)).tolist() == values
+    assert kb._unpacked(kb._packed(real), np.float64).tobytes() == real.tobytes()
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7, 268])
+def test_keys_are_dealt_by_ranges_and_take_few_bytes(buckets):
+    r = np.random.default_rng(buckets)
+    keys = np.append(r.integers(0, 2**64, 200_000, np.uint64), np.array([0, 1, 2**63, 2**64 - 1], np.uint64))
+    r.shuffle(keys)
+    order, above, starts = kb._dealt(keys, buckets)
+    bucket = [kb._bucket(k, buckets) for k in keys[order]]
+    assert bucket == sorted(bucket) and bucket[0] == 0 and bucket[-1] == buckets - 1 and len(starts) == buckets + 1
+    step = (1 << 63) // buckets + 1
+    for a, b in zip(starts, starts[1:], strict=False):
+        assert len(set(bucket[a:b])) == 1
+        assert (np.cumsum(kb._from_planes(kb._planes(above[a:b]))) + np.uint64(2 * step * bucket[a])).tolist() == keys[order[a:b]].tolist()
+    counts = r.choice([0, 1, 1, 1, 2, 3, 40], len(keys))
+    asked = kb._asking(0, keys, counts, buckets)
+    # A key and its count took 16 bytes.
+    assert sum(len(x) for c in ("keys", "sums") for x in asked[c]) < 7.5 * len(keys)
+
+
+def test_shuffle_files_go_when_a_job_ends(spark):
+    places = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for p in places for _, _, found in os.walk(p) for f in found if f.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = files(), spark.conf.get(key)
+    with swept(spark):
+        table = written(spark.range(1_000).groupBy((F.col("id") % 10).alias("k")).count())
+        end = time.time() + 20
+        while files() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not files() - before
+    assert table.count() == 10 and spark.conf.get(key) == set_to
