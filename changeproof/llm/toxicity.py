@@ -15,7 +15,7 @@ that the machine finds toxic (multiple-instance learning). A document scores as
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -292,6 +292,7 @@ def train(toxic: list[str], clean: list[str], rounds: int = 4, contrast_docs: in
     k_clean, _ = _kernel(clean, columns, phi)
     # One sentence stands for the clean ones that meet no landmark; toxic ones of that kind say nothing.
     x_clean = _map(np.vstack((k_clean, np.zeros((1, phi.shape[1]), np.float32))), root)
+    del k_clean
     decision = k_toxic @ (evidence[known] @ phi)
     x_toxic = _map(k_toxic, root)
     for turn in range(rounds):
@@ -314,24 +315,46 @@ def train(toxic: list[str], clean: list[str], rounds: int = 4, contrast_docs: in
     return Machine(np.zeros(_SIZE, np.float32), 0.0, 0.0, float(np.log(len(toxic) / len(clean))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_chars: int) -> tuple[list[str], list[str]]:
-    """Texts of at most ``sample`` labelled documents of each class: (label 1, label 0).
-
-    Those with the smallest hashes of doc_id, of at most ``most_chars`` code points, in a stable order.
-    """
+def _drawn(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_chars: int) -> DataFrame:
+    """Documents (doc_id, text, label) of at most ``most_chars`` code points with the labelled ids of the smallest hashes, ``2 * sample`` of each class."""
     marks = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).distinct()
     # Twice as many are drawn by hash as are wanted, since not all are found in docs or short enough.
     drawn = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for k in (1, 0)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= most_chars)
-    rows = texts.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator()
+    return texts.join(ids, "doc_id")
+
+
+def _classes(rows: Iterable[tuple[str, int]], sample: int) -> tuple[list[str], list[str]]:
+    """The first ``sample`` texts of each class: (label 1, label 0)."""
     found: dict[int, list[str]] = {1: [], 0: []}
-    for row in rows:
-        if len(found[row.label]) < sample:
-            found[row.label].append(row.text)
+    for text, label in rows:
+        if len(found[label]) < sample:
+            found[label].append(text)
     return found[1], found[0]
 
 
+def learn(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_chars: int) -> tuple[list[str], list[str]]:
+    """Texts of at most ``sample`` labelled documents of each class: (label 1, label 0).
+
+    Those with the smallest hashes of doc_id, of at most ``most_chars`` code points, in a stable order.
+    """
+    rows = _drawn(docs, labels, label, sample, most_chars).orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator()
+    return _classes(((row.text, row.label) for row in rows), sample)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample: int, most_chars: int, contrast_docs: int) -> Machine:
+    """The machine trained on the texts that learn draws. One task of an executor trains it, so the driver holds neither texts nor kernels."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = train(*_classes((row for batch in batches for row in zip(batch["text"], batch["label"], strict=True)), sample), contrast_docs=contrast_docs)
+        yield pd.DataFrame({"values": [made.values.tobytes()], "bias": [made.bias], "slope": [made.slope], "shift": [made.shift]})
+
+    drawn = _drawn(docs, labels, "toxic", sample, most_chars).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label")
+    rows = drawn.mapInPandas(fit, "values binary, bias double, slope double, shift double").collect()
+    return Machine(np.frombuffer(rows[0]["values"], np.float32), *rows[0][1:]) if rows else train([], [])
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, threshold: float = 0.3, most_chars: int = SAMPLE_CHARS, contrast_docs: int = CONTRAST_DOCS) -> DataFrame:
     """docs(doc_id, text, ...) with score and predicted added, one row for each row of docs.
 
@@ -346,7 +369,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, sample
     three or more characters that repeats the word before it counts once.
     """
     small_batches(docs.sparkSession)
-    machine = train(*learn(docs, labels.where(~held_out), "toxic", sample, most_chars), contrast_docs=contrast_docs)
+    machine = _fitted(docs, labels.where(~held_out), sample, most_chars, contrast_docs)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -441,6 +442,22 @@ def test_classifiers_take_any_rows(docs, labels, rows):
     assert {r.score for r in toxicity.toxicity_scores(docs, none, fold(4, 2)).collect()} == {0.5}
 
 
+def test_executors_train_the_toxicity_machine(spark, monkeypatch):
+    train = toxicity.train
+
+    def inside(*args, **named):
+        assert TaskContext.get() is not None, "trained on the driver"
+        return train(*args, **named)
+
+    monkeypatch.setattr(toxicity, "train", inside)
+    all_ = labelled(spark)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(all_, all_, fold(4, 2)).collect()}
+    texts_of = toxicity.learn(all_, all_.where(~fold(4, 2)), "toxic", toxicity.SAMPLE, toxicity.SAMPLE_CHARS)
+    rows = all_.collect()
+    for r, score in zip(rows, train(*texts_of).scores([r.text for r in rows]), strict=True):
+        assert got[r.doc_id] == pytest.approx(score, abs=1e-6)
+
+
 def test_gapped_insults_score_like_plain_ones():
     r = random.Random(2)
     syllables = ("on", "er", "ing", "the", "tion", "sh", "re", "an")
