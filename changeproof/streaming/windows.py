@@ -19,6 +19,8 @@ from changeproof.schema import DEAD_RULE_RUNS
 FENCED = "idx long, run_id string, scenario_id string, nonce string, status string, n_rows long"
 #: Positions after which an open window without a close is given up, and a closed one is forgotten.
 EXPIRY = 10_000_000
+#: Buckets of runs of a status stream: so many tasks may share its work, and each batch calls Python so often.
+RUN_BUCKETS = 512
 
 
 def _typed(df: DataFrame, columns: list[str]) -> str:
@@ -208,43 +210,62 @@ def stream_convergence(matches: DataFrame, by: list[str], limit_ms: int = 10_000
 
 
 class _RunStatus(StatefulProcessor):
-    """When a run was first heard of and whether its status is told; a timer at the time by which a verdict must come."""
+    """A bucket of runs: when each open one was first heard of, the list of those answered, batch by batch, and one timer at the first time by which a verdict must come."""
 
     def __init__(self, stale_ms: int):
         self.stale_ms = stale_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "began long, done boolean")
+        self.open = handle.getValueState("open", "runs string, timer long")
+        self.answered = handle.getListState("answered", "run_ids string")
+
+    def _opened(self) -> tuple[dict, int | None]:
+        runs, timer = self.open.get() if self.open.exists() else ("[]", None)
+        return dict(json.loads(runs)), timer
+
+    def _keep(self, runs: dict, timer: int | None, answers: dict) -> Iterator[pd.DataFrame]:
+        """Answers are told and kept as answered, so that a late record does not begin the run again; the timer goes to the first open run."""
+        first = min(runs.values()) + self.stale_ms if runs else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.open.update((json.dumps(list(runs.items())), first))
+        if answers:
+            self.answered.appendValue((json.dumps(list(answers)),))
+            yield pd.DataFrame({"run_id": list(answers), "status": list(answers.values())}, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _all(rows, ["at"])
-        millis = _millis(frame["at"])
-        began, done = self.run.get() if self.run.exists() else (int(millis.iloc[0]), False)
-        if not self.run.exists():
-            self.handle.registerTimer(began + self.stale_ms)
-        final = frame["status"] != "in_progress"
-        if not done and (final.any() or (millis - began > self.stale_ms).any()):
-            first = int(millis[final].iloc[0]) if final.any() else None
-            intime = first is not None and first - began <= self.stale_ms
-            done = True
-            yield pd.DataFrame([{"run_id": key[0], "status": frame["status"][final].iloc[0] if intime else "stale"}])
-        self.run.update((began, done))
+        (runs, timer), answers = self._opened(), {}
+        before = {r for (part,) in self.answered.get() for r in json.loads(part)} if self.answered.exists() else set()
+        for run, ms, status in zip(frame["run_id"], _millis(frame["at"]).tolist(), frame["status"], strict=True):
+            if run in before or run in answers:
+                continue
+            intime = ms - runs.setdefault(run, ms) <= self.stale_ms
+            if status != "in_progress" or not intime:
+                answers[run] = status if intime else "stale"
+                del runs[run]
+        yield from self._keep(runs, timer, answers)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        began, done = self.run.get()
-        self.run.update((began, True))
-        if not done:
-            yield pd.DataFrame([{"run_id": key[0], "status": "stale"}])
+        runs, _ = self._opened()
+        over = timerValues.getCurrentWatermarkInMs() - self.stale_ms
+        yield from self._keep({r: began for r, began in runs.items() if began > over}, None, {r: "stale" for r, began in runs.items() if began <= over})
 
     def close(self) -> None:
         pass
 
 
-def stream_run_status(records: DataFrame, stale_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
+def stream_run_status(records: DataFrame, stale_ms: int = 3_600_000, late: str = "10 seconds", buckets: int = RUN_BUCKETS) -> DataFrame:
     """records(run_id, at, status): the verdict or interruption that replaces a run's in_progress marker, or "stale" if none comes in time.
 
-    Only event times decide, so the answer does not depend on how records fall into batches.
+    Only event times decide, so the answer does not depend on how records fall into batches. Runs are dealt to buckets by hash, since each call
+    of the processor costs milliseconds; a stream that goes on from a checkpoint must keep its number of buckets.
     """
     keyed_state(records.sparkSession)
-    return records.withWatermark("at", late).groupBy("run_id").transformWithStateInPandas(_RunStatus(stale_ms), "run_id string, status string", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket")
+    rows = records.withWatermark("at", late).select(F.col("run_id").cast("string").alias("run_id"), "at", "status").select(bucket, "*")
+    return rows.groupBy("bucket").transformWithStateInPandas(_RunStatus(stale_ms), "run_id string, status string", "Append", "EventTime")

@@ -76,6 +76,27 @@ def test_convergence_and_status(spark, tmp_path):
     assert got == {("good", "pass"), ("lost", "stale")}
 
 
+def test_run_status_by_buckets(spark, tmp_path, monkeypatch):
+    """Python is called for each bucket of a batch and not for each run, and the answers are those of the runs by themselves."""
+
+    class Counted(S._RunStatus):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(S, "_RunStatus", Counted)
+    many = [(f"r{i}", at(i % 60), "in_progress" if i % 2 else "pass") for i in range(2000)]
+    edges = [("eq", at(0), "in_progress"), ("above", at(0.001), "in_progress"), (None, at(0), "in_progress"), ("null", at(0), "in_progress"), ("two", at(0), "in_progress"), ("two", at(1), "pass"), ("two", at(2), "fail"), ("beats", at(0), "in_progress")]
+    again = [("r0", at(70), "fail"), ("r1", at(70), "interrupted"), ("null", at(3), None), ("beats", at(1800), "in_progress"), ("beats", at(3601), "in_progress"), ("beats", at(3602), "pass"), ("r3", at(3600), "fail")]
+    records = batches(spark, tmp_path / "s", "run_id string, at timestamp, status string", many + edges, again, [("clock", at(3610), "in_progress")], [("clock", at(3610), "in_progress"), ("eq", at(3604), "pass"), ("two", at(3605), "fail")])
+    got = [(r.run_id, r.status) for r in drained(S.stream_run_status(records)).collect()]
+    # At the last watermark, 3600, the runs that began at 0 are over, that of 0.001 is not.
+    want = [(f"r{i}", "pass") for i in range(0, 2000, 2)] + [("r1", "interrupted"), ("r3", "fail"), ("eq", "stale"), (None, "stale"), ("null", None), ("two", "pass"), ("beats", "stale")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert (tmp_path / "calls").stat().st_size <= 2 * S.RUN_BUCKETS
+
+
 DUMP = """<hierarchy><node index="0" text="" class="a.Frame" bounds="[0,0][100,100]" enabled="true"><node text="Save &amp;amp; &#8364;&lt;" resource-id="com.x:id/save" class="android.widget.Button"
  bounds="[0,0][11,21]" enabled="true" checkable="true"/><node text="" content-desc=" Save " class="android.widget.Button" bounds="[200,0][211,21]" enabled="false"/><node text="Save" class="x.TextView" bounds="none"/></node></hierarchy>"""
 
