@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,8 +20,8 @@ from changeproof.schema import DEAD_RULE_RUNS
 FENCED = "idx long, run_id string, scenario_id string, nonce string, status string, n_rows long"
 #: Positions after which an open window without a close is given up, and a closed one is forgotten.
 EXPIRY = 10_000_000
-#: Buckets of runs of a status stream: so many tasks may share its work, and each batch calls Python so often.
-RUN_BUCKETS = 512
+#: Buckets of the keys of a stream: so many tasks may share its work, and each batch calls Python so often.
+BUCKETS = 512
 
 
 def _typed(df: DataFrame, columns: list[str]) -> str:
@@ -85,22 +86,31 @@ def stream_fence_windows(log: DataFrame, source: list[str], expiry: int = EXPIRY
     return log.groupBy(*source).applyInPandasWithState(step, f"{_typed(log, source)}, {FENCED}", "windows string", "append", "NoTimeout")
 
 
-def stream_rebase_seq(events: DataFrame, source: list[str], drain: str, seq: str = "seq") -> DataFrame:
-    """(source, drain, seq) with seq continued over the drains of a source; the state is one count."""
+def stream_rebase_seq(events: DataFrame, source: list[str], drain: str, seq: str = "seq", buckets: int = BUCKETS) -> DataFrame:
+    """(source, drain, seq) with seq continued over the drains of a source; the state is one count a source.
+
+    Sources are dealt to buckets by hash, since each call of Python costs milliseconds; a stream that goes on from a checkpoint must keep
+    its number of buckets.
+    """
+    named = "__source"
 
     def step(key, frames, state):
-        before, current, size = state.get if state.exists else (0, None, 0)
-        rows = _all(frames, [drain, seq])
-        for number, part in rows.groupby(drain, sort=True):
-            if current is None or number != current:
+        kept = json.loads(state.get[0]) if state.exists else {}
+        rows = _all(frames, [named, drain, seq])
+        rows = rows[rows[drain].notna()]
+        parts, starts = rows.groupby([named, drain], sort=False).size(), []
+        for (name, number), n in zip(parts.index, parts.tolist(), strict=True):
+            before, current, size = kept.get(name, (0, None, 0))
+            if number != current:
                 before, current, size = before + size, int(number), 0
-            size += len(part)
-            yield part.assign(**{seq: part[seq] + before})[[*source, drain, seq]]
-        state.update((before, current, size))
+            starts.append(before)
+            kept[name] = (before, current, size + n)
+        yield rows.assign(**{seq: rows[seq] + np.repeat(np.array(starts, np.int64), parts.to_numpy())})[[*source, drain, seq]]
+        state.update((json.dumps(kept),))
 
-    return events.select(*source, drain, seq).groupBy(*source).applyInPandasWithState(
-        step, _typed(events, [*source, drain, seq]), "before long, current long, size long", "append", "NoTimeout"
-    )
+    name = F.to_json(F.array(*[F.col(c).cast("string") for c in source])).alias(named)
+    rows = events.select(F.pmod(F.xxhash64(*source), F.lit(buckets)).alias("__bucket"), name, *source, drain, seq)
+    return rows.groupBy("__bucket").applyInPandasWithState(step, _typed(events, [*source, drain, seq]), "kept string", "append", "NoTimeout")
 
 
 def stream_rule_health(runs: DataFrame, dead_after: int = DEAD_RULE_RUNS) -> DataFrame:
@@ -259,7 +269,7 @@ class _RunStatus(StatefulProcessor):
         pass
 
 
-def stream_run_status(records: DataFrame, stale_ms: int = 3_600_000, late: str = "10 seconds", buckets: int = RUN_BUCKETS) -> DataFrame:
+def stream_run_status(records: DataFrame, stale_ms: int = 3_600_000, late: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
     """records(run_id, at, status): the verdict or interruption that replaces a run's in_progress marker, or "stale" if none comes in time.
 
     Only event times decide, so the answer does not depend on how records fall into batches. Runs are dealt to buckets by hash, since each call
