@@ -95,6 +95,26 @@ def test_large_regions_are_split_without_losing_links(docs, rows, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == linked(sets)
 
 
+def test_texts_of_no_region_are_not_shuffled(spark, docs, rows, monkeypatch):
+    """Where the members are too many for a broadcast, a bitmap of their ids goes before the join; windows and sets are deleted when they are used."""
+    made, many = [], spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    write = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, *a: made.append((df, write(df, *a))) or made[-1][1])
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    got = jaccard_join.jaccard_components(docs).where("doc_id IS NOT NULL").collect()
+    assert {r.doc_id: r.component_id for r in got} == linked(sets)
+    plan = next(df._jdf.queryExecution().optimizedPlan().toString() for df, _ in made if df.columns[-1] == "shingles" and "MapInPandas" in df._jdf.queryExecution().optimizedPlan().toString())
+    assert "bitmap_construct_agg" in plan
+    spark_path = spark._jvm.org.apache.hadoop.fs.Path
+    left = [t for _, t in made if {"cells", "shingles"} & set(t.columns) for f in t.inputFiles() if spark_path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark_path(f))]
+    assert not left
+
+    asked = many.where("doc_id % 100 = 3").select("doc_id")
+    met = {r.doc_id for r in jaccard_join._met(many.unionByName(many.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), asked, 200).select("doc_id").collect()}
+    assert set(range(3, 20_000, 100)) <= met and len(met) < 200 + 20_000 // 10
+
+
 def test_local_recursion_is_exact():
     r = random.Random(1)
     sets = []
